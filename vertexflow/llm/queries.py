@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, fertility, packing
 from .common import table
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -15,9 +16,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rate(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_packing": op5_packing}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing)}
 ORACLES: dict[str, str] = {}
