@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fertility, packing
+from . import bpe, fertility, minhash, packing
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,5 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing)}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash)}
 ORACLES: dict[str, str] = {}
