@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of characters other than space and \t..\r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: A-Z only, as the contracts ask; other letters keep their case.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
+
+def lower_az(text: str) -> str:
+    """Lower-cases A-Z only; other letters keep their case."""
+    return text.encode().lower().decode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

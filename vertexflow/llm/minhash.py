@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WORD, Memo, arrow_batch, arrow_rows, stash
+from .common import WORD, Memo, arrow_batch, arrow_rows, lower_az, stash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -49,7 +49,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int, words: Memo) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of A-Z lower-cased words."""
-    found = WORD.findall((text or "").translate(LOWER_AZ))
+    found = WORD.findall(lower_az(text or ""))
     if not found:
         return np.empty(0, np.uint64)
     codes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))

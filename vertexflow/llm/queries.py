@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, minhash, packing
+from . import bpe, fertility, hpylm, minhash, packing
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,5 +30,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash)}
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash, op8_pitman_yor)}
 ORACLES: dict[str, str] = {}
