@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, hpylm, minhash, packing
+from . import bpe, fertility, hpylm, langid, minhash, packing
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,5 +34,9 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash, op8_pitman_yor)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash, op8_pitman_yor, op10_language)}
 ORACLES: dict[str, str] = {}
