@@ -60,9 +60,10 @@ class MergeAutomaton:
         self.inner = {t: i for i, t in reachable.items() if not (suffix and t.endswith(suffix))}
         if not suffix:
             self.final = self.inner
-        self.reach: dict[str, int] = {}  # by the first three letters: the longest token that starts so
+        self.reach: dict[str, int] = {}  # by four letters: the longest token that starts so; all others have three at most
         for t in {*self.final, *self.inner}:
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
+            if len(t) > 3:
+                self.reach[t[:4]] = max(self.reach.get(t[:4], 0), len(t))
         self._known: dict[int, bool] = {}
 
     def _symbols(self, token: str) -> int:
@@ -92,37 +93,44 @@ class MergeAutomaton:
                 return True
             at, token = min(at, self.born[token]), self.parts[token][0]
 
-    def _follows(self, state: int, token: int) -> bool:
-        key = state << 32 | token
-        known = self._known.get(key)
-        if known is None:
-            if len(self._known) > 300_000:
-                self._known.clear()
-            known = self._known[key] = self.arc(state, token)
+    def _learn(self, key: int) -> bool:
+        if len(self._known) > 300_000:
+            self._known.clear()
+        known = self._known[key] = self.arc(key >> 32, key & 0xFFFFFFFF)
         return known
 
     def encode(self, word: str) -> list[int]:
         """The tokens of one pre-split word, given in byte letters."""
-        n, ids, ends, dead = len(word), [], [0], set()
-        most = n
-        while ends[-1] < n:
-            start, state = ends[-1], ids[-1] if ids else -1
-            end = min(n, start + self.reach.get(word[start : start + 3], 2), most)
+        n, ids, ends, dead = len(word), [], [0], None
+        final, inner, reach, known = self.final.get, self.inner.get, self.reach.get, self._known.get
+        start, most, state = 0, n, -1
+        while start < n:
+            end = start + reach(word[start : start + 4], 3)
+            if end > most:
+                end = most
             token = None
             while end > start:
-                token = self.final.get(word[start:]) if end == n else self.inner.get(word[start:end])
-                if token is not None and (state < 0 or self._follows(state, token)) and (end, token) not in dead:
-                    break
-                token, end = None, end - 1
-            if token is None:
+                token = final(word[start:]) if end == n else inner(word[start:end])
+                if token is not None:
+                    if state < 0:
+                        break
+                    key = state << 32 | token
+                    ok = known(key)
+                    if (self._learn(key) if ok is None else ok) and not (dead and (end, token) in dead):
+                        break
+                    token = None
+                end -= 1
+            if token is None:  # a dead end: take the last arc back
                 if not ids:
                     raise ValueError(f"no token sequence spells {word!r}")
+                dead = dead or set()
                 dead.add((start, ids.pop()))
                 most = ends.pop() - 1
+                start, state = ends[-1], ids[-1] if ids else -1
             else:
                 ids.append(token)
                 ends.append(end)
-                most = n
+                start, state, most = end, token, n
         return ids
 
     def decode(self, ids) -> list[str]:
@@ -130,9 +138,11 @@ class MergeAutomaton:
 
 
 class WordTokenizer:
-    """A tokenizer file of the word-end kind: special strings, normalisation, pre-splitting, automaton."""
+    """A tokenizer file of the word-end kind: special strings, normalisation, pre-splitting, automaton.
+
+    library: split words into ids by the tokenizers library, for operators whose subject isn't the encoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -140,8 +150,14 @@ class WordTokenizer:
             raise ValueError("only lower-casing word-end tokenizers without a decoder are supported")
         model = spec["model"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.automaton = MergeAutomaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.automaton.label |= {i: t for t, i in self.special.items()}
+        self._model = None
+        if library:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(path).model
+        else:
+            self.automaton = MergeAutomaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
+            self.automaton.label |= {i: t for t, i in self.special.items()}
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self._letters = byte_letters()
@@ -150,10 +166,16 @@ class WordTokenizer:
         """Ids of a normalised string without white space, or of a special string (prefixed by \\0)."""
         if chunk[0] == "\0" and chunk[1:] in self.special:
             return [self.special[chunk[1:]]]
-        out: list[int] = []
-        for word in self._split(chunk):
-            out += self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self._letters.__getitem__, word.encode())))
-        return out
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return self._word(chunk[:-1]) + self._word(chunk[-1])
+        return [i for word in self._split(chunk) for i in self._word(word)]
+
+    def _word(self, word: str) -> list[int]:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(word)] if self._model else self.automaton.encode(word)
 
     def chunks(self, text: str) -> list[str]:
         """What chunk_ids takes, in order; no merge reaches over a border of chunks."""
@@ -168,7 +190,8 @@ class WordTokenizer:
     def _plain(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form in context
-        return _CHUNK.findall(text.lower())
+        text = text.lower()
+        return _CHUNK.findall(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()  # which split takes for space
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

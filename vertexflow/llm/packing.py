@@ -18,6 +18,7 @@ Null texts are empty documents: one piece, the end id alone. Equal lengths are t
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -31,14 +32,18 @@ from .bpe import WordTokenizer
 from .common import Memo, arrow_batch, arrow_rows, stash
 
 
+def little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of each whole text's ids and the end id."""
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        tok = WordTokenizer(path)
-        get = Memo(lambda chunk: np.array(tok.chunk_ids(chunk), "<u4").tobytes()).__getitem__
-        end = np.array([end_id], "<u4").tobytes()
+        tok = WordTokenizer(path, library=True)
+        get = Memo(lambda chunk: little_endian(tok.chunk_ids(chunk))).__getitem__
+        end = little_endian([end_id])
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             rows = []
             for key, text in zip(keys, texts):
