@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, hpylm, langid, minhash, packing
+from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, counted="n_replaced")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -38,5 +43,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op7_minhash, op8_pitman_yor, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op10_language)}
 ORACLES: dict[str, str] = {}
