@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates
+from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates, wrappers
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,9 +39,13 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
 ORACLES: dict[str, str] = {}
