@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates, wrappers
+from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates, warc, wrappers
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.revisits(warc.read(spark, path))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest AS d, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON payload_digest = d
+"""
+
+
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rate(table(spark, sf_dir, "documents"), PIECE_BPE)
 
@@ -47,5 +63,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
+ORACLES = {"op3_warc": OP3_SQL}
