@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, hpylm, langid, minhash, packing, surrogates, warc, wrappers
+from . import bpe, fertility, hpylm, langid, minhash, packing, permutation, surrogates, warc, wrappers
 from .common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -63,5 +67,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_permutation, op2_bpe, op3_warc, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
 ORACLES = {"op3_warc": OP3_SQL}
