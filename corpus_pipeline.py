@@ -1,11 +1,54 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, language, near duplicates, personal data, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vertexflow.llm import fertility, langid, minhash, packing, surrogates
+from vertexflow.llm.common import stash
+from vertexflow.llm.queries import PIECE_BPE, WORD_BPE
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fertility rules keep."""
+    return fertility.keep(docs, PIECE_BPE)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return langid.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return minhash.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets replaced by surrogates."""
+    return surrogates.replace(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, WORD_BPE)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language identification", language),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", pack),
+]
+
+#: The stages hash, learn and pack; SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
