@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def slot_of(word: str) -> int:
     return ord(word[-1]) % LAST * SECOND + (ord(word[-2]) * 2654435761 >> 16) % SECOND if len(word) > 1 else ord(word) % LAST * SECOND
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of `width` bytes, all low bytes first: planes of zeros compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros(parts.shape[1], np.int64)
+    for k in range(width):
+        out |= parts[k].astype(np.int64) << (8 * k)
+    return out
+
+
 class Numbered(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -62,7 +76,7 @@ def chunk_rows(name: str, ids: list, held: list, lengths: list, words: list, voc
     n_words = len(vocab) + 1  # the end token is the last
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
     hashes = np.append(hashes, END_HASH)
-    slots = np.fromiter(map(slot_of, vocab), np.int64, len(vocab))
+    slots = np.fromiter(map(slot_of, vocab), np.int32, len(vocab))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((hashes, bucket))
     rank = np.empty(n_words, np.int64)
@@ -70,14 +84,20 @@ def chunk_rows(name: str, ids: list, held: list, lengths: list, words: list, voc
 
     lengths_ = np.array(lengths, np.int64)
     ends = np.cumsum(lengths_) - 1
-    tokens = np.empty(int(lengths_.sum()), np.int64)
+    tokens = np.empty(int(lengths_.sum()), np.int32)
     inner = np.ones(len(tokens), bool)
     inner[ends] = False
     tokens[inner], tokens[ends] = np.concatenate(words) if words else [], n_words - 1
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = np.append(slots, START)[tokens[:-1]]
+    before = np.empty(len(tokens), np.int32)
+    before[1:] = np.append(slots, np.int32(START))[tokens[:-1]]
     before[np.r_[0, ends[:-1] + 1]] = START
-    pairs, stream = np.unique(rank[tokens] * SLOTS + before, return_inverse=True)
+    words.clear()
+    del inner
+    key = rank[tokens] * SLOTS + before
+    del tokens, before
+    pairs, stream = np.unique(key, return_inverse=True)
+    del key
+    stream = stream.astype(np.int32 if len(pairs) < 1 << 31 else np.int64)
     trains = np.repeat(~np.array(held, bool), lengths_)
     counts = np.bincount(stream[trains], minlength=len(pairs))
     of_word = pairs // SLOTS
@@ -88,10 +108,11 @@ def chunk_rows(name: str, ids: list, held: list, lengths: list, words: list, voc
     for b in range(buckets):
         w, p = slice(first_word[b], first_word[b + 1]), slice(first_pair[b], first_pair[b + 1])
         if w.start < w.stop:
-            yield name, b, sorted_hashes[w].tobytes(), sizes[w].astype("<u2").tobytes(), (pairs[p] % SLOTS).astype("<u2").tobytes(), counts[p].astype("<u4").tobytes(), None, None, None, None
+            yield name, b, sorted_hashes[w].tobytes(), planes(sizes[w], 2), planes(pairs[p] % SLOTS, 2), planes(counts[p], 5), None, None, None, None
     known_ids = np.array([0 if i is None else i for i in ids], np.int64)
     missing = np.array([i is None for i in ids], np.uint8)
-    yield name, -1, None, sizes.astype("<u2").tobytes(), missing.tobytes(), None, known_ids.tobytes(), lengths_.tobytes(), np.array(held, np.uint8).tobytes(), stream.astype("<u4").tobytes()
+    width = np.array([3 if len(pairs) < 1 << 24 else 5], np.uint8)
+    yield name, -1, None, planes(sizes, 2), missing.tobytes(), width.tobytes(), known_ids.tobytes(), lengths_.tobytes(), np.array(held, np.uint8).tobytes(), planes(stream, int(width[0]))
 
 
 def chunks(docs: DataFrame, buckets: int, mod: int, rest: int) -> DataFrame:
@@ -114,7 +135,7 @@ def chunks(docs: DataFrame, buckets: int, mod: int, rest: int) -> DataFrame:
                 ids.append(doc_id)
                 held.append(held_out(doc_id, mod, rest))
                 lengths.append(len(found) + 1)
-                words.append(np.fromiter(map(vocab.__getitem__, found), np.int64, len(found)))
+                words.append(np.fromiter(map(vocab.__getitem__, found), np.int32, len(found)))
                 tokens += len(found) + 1
                 if tokens >= CHUNK_TOKENS:
                     yield pd.DataFrame(chunk_rows(f"{part}-{made}", *state, buckets), columns=columns)
@@ -149,14 +170,13 @@ def reseat(customers: np.ndarray, prior: np.ndarray, discount: float, others: np
 class Bucket:
     """The dishes of a bucket, with all their restaurants."""
 
-    def __init__(self, group: pd.DataFrame):
-        group = group.sort_values("chunk")
-        self.names = group["chunk"].tolist()
+    def __init__(self, group: dict):
+        self.names = group["chunk"]
         hashes = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
-        sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in group["sizes"]]
+        sizes = [from_planes(x, 2) for x in group["sizes"]]
         self.words_in, self.pairs_in = [len(x) for x in hashes], [int(x.sum()) for x in sizes]
-        slots = np.concatenate([np.frombuffer(x, "<u2") for x in group["slots"]]).astype(np.int64)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"]]).astype(np.int64)
+        slots = np.concatenate([from_planes(x, 2) for x in group["slots"]])
+        counts = np.concatenate([from_planes(x, 5) for x in group["counts"]])
         words, self.word_at = np.unique(np.concatenate(hashes), return_inverse=True)
         key, self.pair_at = np.unique(np.repeat(self.word_at, np.concatenate(sizes)) * SLOTS + slots, return_inverse=True)
         self.word, self.slot = key // SLOTS, key % SLOTS
@@ -258,30 +278,50 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, sample
     """Learns from documents whose crc32(doc_id) modulo `mod` isn't `rest`; one row of scores per document."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     written = stash(chunks(docs, buckets, mod, rest), "chunks")
-    by_bucket = written.where("bucket >= 0").select("chunk", "bucket", "hashes", "sizes", "slots", "counts").groupBy("bucket")
+    parts = ("chunk", "hashes", "sizes", "slots", "counts")
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        return pd.DataFrame({"bucket": group["bucket"][:1], **{p: [group[p].tolist()] for p in parts}})
+
+    # one row per bucket, written: what follows reads it without a shuffle
+    gathered = written.where("bucket >= 0").select("bucket", *parts).groupBy("bucket")
+    gathered = stash(gathered.applyInPandas(gather, "bucket int, chunk array<string>, hashes array<binary>, sizes array<binary>, slots array<binary>, counts array<binary>"), "buckets")
+
+    def each(work, schema):
+        """work on each bucket, as a mapping over the written rows."""
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield pa.RecordBatch.from_pandas(work(row), schema=schema, preserve_index=False)
+
+        return run
+
+    vector = pa.schema([("v", pa.list_(pa.float64()))])
 
-    def start(group: pd.DataFrame) -> pd.DataFrame:
+    def start(group: dict) -> pd.DataFrame:
         b = Bucket(group)
         return pd.DataFrame({"v": [np.concatenate([b.counts_of_counts(), b.totals()])]})
 
-    first = _sum_vectors(by_bucket.applyInPandas(start, "v array<double>"))
+    first = _sum_vectors(gathered.mapInArrow(each(start, vector), "v array<double>"))
     if not len(first):
         first = np.zeros(7 + 2 * SLOTS + PARENTS + 1)
     vocabulary, ones, totals = float(first[0]), first[1:7], first[7:]
     trained = int(totals[:SLOTS].sum())
     discounts = [float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in ones.reshape(3, 2)]
 
-    def warm(group: pd.DataFrame) -> pd.DataFrame:
-        b, shared, rng = Bucket(group), Shared(totals, vocabulary, discounts), np.random.default_rng([seed, int(group["bucket"].iloc[0])])
+    def warm(group: dict) -> pd.DataFrame:
+        b, shared, rng = Bucket(group), Shared(totals, vocabulary, discounts), np.random.default_rng([seed, group["bucket"]])
         for _ in range(burn_in):
             b.sweep(shared, rng)
         return pd.DataFrame({"v": [b.totals()]})
 
-    reached = _sum_vectors(by_bucket.applyInPandas(warm, "v array<double>"))
+    reached = _sum_vectors(gathered.mapInArrow(each(warm, vector), "v array<double>"))
     reached = reached if len(reached) else totals
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        b, rng = Bucket(group), np.random.default_rng([seed, 1, int(group["bucket"].iloc[0])])
+    def answer(group: dict) -> pd.DataFrame:
+        b, rng = Bucket(group), np.random.default_rng([seed, 1, group["bucket"]])
         for _ in range(burn_in):
             b.sweep(Shared(reached, vocabulary, discounts), rng)
         mean = np.zeros(len(b.c))
@@ -290,22 +330,23 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, sample
             b.sweep(shared, rng)
             mean += b.predictions(Shared(reached, vocabulary, discounts)) / samples
         logs = np.log10(mean).astype("<f4")[b.pair_at]
-        known = b.word_c.astype("<i8")[b.word_at]
+        known = b.word_c.astype(np.int64)[b.word_at]
         pair_ends, word_ends = np.cumsum(b.pairs_in), np.cumsum(b.words_in)
-        rows = [(n, int(group["bucket"].iloc[0]), logs[pe - pn : pe].tobytes(), known[we - wn : we].tobytes()) for n, pe, pn, we, wn in zip(b.names, pair_ends, b.pairs_in, word_ends, b.words_in)]
+        rows = [(n, group["bucket"], logs[pe - pn : pe].tobytes(), planes(known[we - wn : we], 6)) for n, pe, pn, we, wn in zip(b.names, pair_ends, b.pairs_in, word_ends, b.words_in)]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "logs", "known"])
 
-    answers = by_bucket.applyInPandas(answer, "chunk string, bucket int, logs binary, known binary")
-    streams = written.where("bucket < 0").select("chunk", "sizes", "slots", "ids", "lengths", "held", "stream")
+    answered = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("logs", pa.binary()), ("known", pa.binary())])
+    answers = gathered.mapInArrow(each(answer, answered), "chunk string, bucket int, logs binary, known binary")
+    streams = written.where("bucket < 0").select("chunk", "sizes", "slots", "counts", "ids", "lengths", "held", "stream")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def add_up(stream: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        row, parts = stream.iloc[0], parts.sort_values("bucket")
+        row, parts = stream.iloc[0], parts.sort_values("bucket")  # a chunk has one stream
         logs = np.concatenate([np.frombuffer(x, "<f4") for x in parts["logs"]]).astype(float)
-        known = np.concatenate([np.frombuffer(x, "<i8") for x in parts["known"]])
-        word_of = np.repeat(np.arange(len(known)), np.frombuffer(row["sizes"], "<u2"))
+        known = np.concatenate([from_planes(x, 6) for x in parts["known"]])
+        word_of = np.repeat(np.arange(len(known)), from_planes(row["sizes"], 2))
         base = np.log10((known + 1.0) / (trained + vocabulary + 1.0))
-        pairs = np.frombuffer(row["stream"], "<u4")
+        pairs = from_planes(row["stream"], row["counts"][0])
         lengths = np.frombuffer(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
         words = word_of[pairs]
