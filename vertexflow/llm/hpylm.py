@@ -265,13 +265,14 @@ class Shared:
         self._set(self.all + change)
 
 
-def _sum_vectors(df: DataFrame) -> np.ndarray:
-    """The sum over buckets of vectors of fixed length, summed by position before it comes to the driver."""
-    rows = df.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(max((r["k"] for r in rows), default=-1) + 1)
-    for r in rows:
-        out[r["k"]] = r["x"]
-    return out
+def _sum_vectors(df: DataFrame, buckets: int) -> np.ndarray:
+    """The sum over buckets of vectors (bucket, v) of fixed length: first within about sqrt(buckets) groups, then on the driver."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"v": [np.sum([np.frombuffer(x) for x in group["v"]], axis=0).tobytes()]})
+
+    part = F.pmod(F.col("bucket"), F.lit(int(np.ceil(np.sqrt(buckets)))))
+    return np.sum([np.frombuffer(r["v"]) for r in df.groupBy(part).applyInPandas(add, "v binary").collect()] or [np.zeros(0)], axis=0)
 
 
 def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, samples: int = 4, seed: int = 11) -> DataFrame:
@@ -298,13 +299,13 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, sample
 
         return run
 
-    vector = pa.schema([("v", pa.list_(pa.float64()))])
+    vector = pa.schema([("bucket", pa.int32()), ("v", pa.binary())])
 
     def start(group: dict) -> pd.DataFrame:
         b = Bucket(group)
-        return pd.DataFrame({"v": [np.concatenate([b.counts_of_counts(), b.totals()])]})
+        return pd.DataFrame({"bucket": [group["bucket"]], "v": [np.concatenate([b.counts_of_counts(), b.totals()]).tobytes()]})
 
-    first = _sum_vectors(gathered.mapInArrow(each(start, vector), "v array<double>"))
+    first = _sum_vectors(gathered.mapInArrow(each(start, vector), "bucket int, v binary"), buckets)
     if not len(first):
         first = np.zeros(7 + 2 * SLOTS + PARENTS + 1)
     vocabulary, ones, totals = float(first[0]), first[1:7], first[7:]
@@ -315,9 +316,9 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, sample
         b, shared, rng = Bucket(group), Shared(totals, vocabulary, discounts), np.random.default_rng([seed, group["bucket"]])
         for _ in range(burn_in):
             b.sweep(shared, rng)
-        return pd.DataFrame({"v": [b.totals()]})
+        return pd.DataFrame({"bucket": [group["bucket"]], "v": [b.totals().tobytes()]})
 
-    reached = _sum_vectors(gathered.mapInArrow(each(warm, vector), "v array<double>"))
+    reached = _sum_vectors(gathered.mapInArrow(each(warm, vector), "bucket int, v binary"), buckets)
     reached = reached if len(reached) else totals
 
     def answer(group: dict) -> pd.DataFrame:
