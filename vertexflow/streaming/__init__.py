@@ -1,0 +1 @@
+"""The engine's feature set has no streams, watermarks or time windows; nothing is built here."""
