@@ -1,10 +1,12 @@
 """Nearest neighbours by a permutation index.
 
-Pivots are drawn from the table by a hash of the id. A vector is represented by the order of its `prefix` nearest pivots and
+Pivots are spread over a sample of the table (at most `sample` rows by a hash of the id, each next pivot the farthest
+from those before it). A vector is represented by the order of its `prefix` nearest pivots and
 posted, with its position, in the inverted file of each of them. A query reads the files of its own nearest pivots
 and adds up, per posted vector, what the two orders have in common: prefix minus the difference of positions. That ranks all
 vectors of a block by the footrule distance of the prefixes (a missing pivot counts as position `prefix`). The best
-`share` of the distinct vectors of each block, `least` at least, are reranked by the exact distance on the vectors.
+`share` of the distinct vectors of each block, `least` at least, are reranked by the exact distance on the vectors, and as
+many more as long as these bring a neighbour: in a dense cluster the orders differ too little to rank its members.
 
 The index is dealt into blocks by a hash of the id, the queries into blocks of `query_block`; every pair of blocks is a task of
 bounded size, however skewed the vectors are, and returns its best k rows per query, which are merged by query. Equal vectors of a block
@@ -37,6 +39,15 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :prefix]
 
 
+def spread_pivots(x: np.ndarray, many: int) -> np.ndarray:
+    """Farthest-first traversal from the first vector; fewer where vectors repeat."""
+    chosen, far = [0] if len(x) else [], ((x - x[:1]) ** 2).sum(axis=1)
+    while chosen and len(chosen) < many and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
 class InvertedFiles:
     """By pivot: the vectors that have it in their prefix, and its position there."""
 
@@ -72,10 +83,17 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     out = []
     for q_id, vector, own in zip(q_ids, q, orders(q, pivots, prefix)):
         far = files.footrule(own)
-        best = np.argpartition(far, many - 1)[:many] if many < len(far) else np.arange(len(far))
-        distance = np.sqrt(((distinct[best] - vector) ** 2).sum(axis=1))
-        near = np.argsort(distance, kind="stable")
-        cut = distance[near[min(k, len(near) - 1)]]  # at least k + 1 distinct vectors, and all that tie with the last
+        ranked, done, cut = np.argsort(far, kind="stable"), 0, np.inf
+        best, distance = np.empty(0, np.int64), np.empty(0)
+        while done < len(ranked):  # another round as long as the last one brought a neighbour
+            batch = ranked[done : done + many]
+            new = np.sqrt(((distinct[batch] - vector) ** 2).sum(axis=1))
+            best, distance = np.append(best, batch), np.append(distance, new)
+            if done and new.min() > cut:
+                break
+            done += many
+            cut = np.partition(distance, min(k, len(distance) - 1))[min(k, len(distance) - 1)]
+        near = np.argsort(distance, kind="stable")  # at least k + 1 distinct vectors, and all that tie with the last
         rows = []
         for j in near[distance[near] <= cut]:
             g = best[j]
@@ -84,14 +102,14 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = 0.1, least: int = 512, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = 0.1, least: int = 512, block: int = 8192, query_block: int = 2048, sample: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of (vec_id, embedding) by Euclidean distance for the rows where `queries` holds."""
     clean = vectors.where("vec_id IS NOT NULL").where(valid(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     sizes = clean.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).orderBy(F.desc("n"), "width").first()
     width, n, n_queries = (sizes["width"], sizes["n"], sizes["q"]) if sizes else (0, 0, 0)
     clean = clean.where(F.size("embedding") == width)
-    drawn = clean.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(pivots).collect()
-    centres = np.array([r["embedding"] for r in drawn], float)
+    drawn = clean.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).collect()
+    centres = spread_pivots(np.array([r["embedding"] for r in drawn], float), pivots)
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     deal = lambda many, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(many)).cast("int")
