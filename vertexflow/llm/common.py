@@ -40,6 +40,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, rows: int = 200_000, size: int = 16_000_000) -> DataFrame:
+    """A side of a join, written and measured: broadcast if it has at most so many rows and bytes of strings, else joined as it is.
+
+    Without it the adaptive planner learns that the side is small when the other side has already been shuffled."""
+    written = stash(df, name)
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in written.dtypes if kind in ("string", "binary")]
+    n, held = written.agg(F.count("*"), sum(texts, F.lit(0))).first()
+    return F.broadcast(written) if n <= rows and held <= size else written
+
+
 def arrow_rows(batches, *names):
     """For each Arrow batch the named columns as Python lists."""
     for batch in batches:

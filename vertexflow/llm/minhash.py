@@ -11,8 +11,9 @@ large sets, and the share of equal coordinates of two sketches estimates the Jac
    centre (its least id): as many pairs as members.
 3. Pairs whose sketches are far below the threshold go (at 240 coordinates, 0.15 is almost six deviations); the
    others are verified on full sets. Links give components (alternating stars, cut by written tables).
-4. Buckets whose other members still lie in different components are searched in blocks, pairs of different components
-   only, on sketches: first the two likeliest partners of each member, then sixteen, then all that are left. So
+4. Where the other members of a bucket still lie in different components, the documents of all such buckets are dealt
+   into families (connected by buckets) and these into blocks. Pairs of blocks compare what is not linked yet on sketches
+   and verify on full sets in place; they emit only the links that join components, at most one per row. So
    no pair of a bucket stays unchecked unless its ends are already linked, and no step emits all pairs of a group.
 
 With 40 bands of 6 rows a pair at the threshold 0.8 misses every bucket with a chance of 5e-6.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, arrow_batch, arrow_rows, lower_az, stash
+from .common import WORD, Memo, arrow_batch, arrow_rows, lower_az, small_side, stash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -65,7 +66,9 @@ def word_codes() -> Memo:
 
 
 def sketch(items: np.ndarray, t: int) -> np.ndarray:
-    """t coordinates of a non-empty set; equal coordinates come from the same element but for 47-bit collisions."""
+    """t coordinates of a non-empty set; equal coordinates come from the same element but for hash collisions (47 bits at t = 240)."""
+    for_bin, for_round = (t - 1).bit_length(), (2 * t - 1).bit_length()
+    high, low = np.uint64(64 - for_bin), np.uint64(64 - for_bin - for_round)
     filled = np.full(t, np.uint64(_FULL))
     empty, i = t, 0
     while empty and i < 2 * t:
@@ -77,10 +80,10 @@ def sketch(items: np.ndarray, t: int) -> np.ndarray:
         else:
             bins = np.broadcast_to((rounds - np.uint64(t))[:, None], g.shape)
         # bin, then round, then hash: sorted, the first of each bin wins
-        keys = np.sort(((bins << np.uint64(56)) | (rounds[:, None] << np.uint64(47)) | ((g * _M1) >> np.uint64(17))).ravel())
-        at = (keys >> np.uint64(56)).astype(np.int64)
+        keys = np.sort(((bins << high) | (rounds[:, None] << low) | ((g * _M1) >> np.uint64(for_bin + for_round))).ravel())
+        at = (keys >> high).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        filled[at[first]] = np.minimum(filled[at[first]], keys[first] & np.uint64((1 << 56) - 1))
+        filled[at[first]] = np.minimum(filled[at[first]], keys[first] & np.uint64((1 << int(high)) - 1))
         empty = int((filled == np.uint64(_FULL)).sum())
         i += many
     return filled
@@ -171,41 +174,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int
     left, right = sides(sketches, "sketch")
     likely = stash(pairs.join(left, "a").join(right, "b").where(near("x", "y")).select("a", "b"), "likely")
     ends = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = stash(full_sets(docs.join(ends, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    sets = stash(full_sets(docs.join(small_side(ends, "ends"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
     left, right = sides(sets, "items")
     return stash(likely.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b"), "links")
 
 
-def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int, best: int | None, block: int = 1024) -> DataFrame:
-    """Pairs of different components in a bucket (key, id, component) whose sketches are near: the `best` of each member, or all."""
-    floor = percent / 100 - 0.15
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "key")
+def joining_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, own: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Verified links between rows of different components, only those that join two (of different blocks, if `own` has them)."""
+    sizes = np.array([len(x) for x in sets])
+    kinds, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(column, minlength=len(kinds)) > 1  # what one row alone has meets nothing
+    width = int(shared.sum())
+    packed = None
+    if len(sets) * width <= 1 << 29:
+        number = np.cumsum(shared) - 1
+        packed = np.zeros((len(sets), width), bool)
+        at = shared[column]
+        packed[row[at], number[column[at]]] = True
+        packed = np.packbits(packed, axis=1)
+    _, label = np.unique(component, return_inverse=True)
+    floor, links = percent / 100 - 0.15, []
+    for k in range(len(ids) - 1):
+        rest = np.arange(k + 1, len(ids))
+        fit = (label[rest] != label[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k]))
+        if own is not None:
+            fit &= own[rest] != own[k]
+        rest = rest[fit]
+        rest = rest[(sketches[rest] == sketches[k]).mean(axis=1) >= floor] if len(rest) else rest
+        if not len(rest):
+            continue
+        if packed is not None:
+            both = np.bitwise_count(packed[rest] & packed[k]).sum(axis=1, dtype=np.int64)
+        else:
+            both = np.array([np.isin(sets[k], sets[h], assume_unique=True).sum() for h in rest])
+        for h in rest[100 * both >= percent * (sizes[rest] + sizes[k] - both)]:
+            if label[h] != label[k]:
+                links.append((max(ids[k], ids[h]), min(ids[k], ids[h])))
+                label[label == label[h]] = label[k]
+    return links
+
+
+def _late_links(family: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """joining_links of each family (id, family, component), dealt into pairs of blocks."""
+    sized = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "family")
     at = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     lanes = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, at).alias("i"), F.greatest(k, at).alias("j")))
-    dealt = sized.withColumn("_lane", F.explode(lanes)).select("key", "id", "component", "_lane.i", "_lane.j", at.alias("own"))
-    dealt = dealt.join(sketches.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    known = sized.join(sets.withColumnRenamed("doc_id", "id"), "id").join(sketches.withColumnRenamed("doc_id", "id"), "id")
+    dealt = known.withColumn("_lane", F.explode(lanes)).select("family", "id", "component", "_lane.i", "_lane.j", at.alias("own"), "items", "sketch")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        ids, comp, own = (group[c].to_numpy() for c in ("id", "component", "own"))
-        bits = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), -1)
-        cross = group["i"].iloc[0] != group["j"].iloc[0]
-        found = []
-        for k in range(len(ids) - 1):
-            rest = np.arange(k + 1, len(ids))
-            rest = rest[comp[rest] != comp[k]]
-            if cross:
-                rest = rest[own[rest] != own[k]]
-            if not len(rest):
-                continue
-            share = (bits[rest] == bits[k]).mean(axis=1)
-            hit = rest[share >= floor]
-            if best and len(hit) > best:
-                hit = hit[np.argsort(-share[share >= floor], kind="stable")[:best]]
-            found += [(max(ids[k], ids[h]), min(ids[k], ids[h])) for h in hit]
+        group = group.sort_values("id")
+        own = group["own"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None
+        bits = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        found = joining_links(group["id"].to_numpy(), group["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["items"]], bits, own, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    return dealt.groupBy("family", "i", "j").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -226,26 +251,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = _verified(pairs, docs, sketches, width, percent)
     labels = stash(components(links), "components")
 
-    members = buckets.select("key", F.col("member.id").alias("id"))
-    for best in (2, 16, None):
-        lasting = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = lasting.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        members_open = stash(lasting.join(open_keys, "key", "left_semi"), "open")
-        more = stash(_open_pairs(members_open, sketches, percent, best), "pairs")
-        if more.isEmpty():
-            break
-        found = _verified(more, docs, sketches, width, percent)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = stash(components(links), "components")
-        members = members_open.select("key", "id")
+    ends = buckets.select("key", F.col("member.id").alias("id"), F.col("centre.id").alias("centre"))
+    lasting = ends.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    open_keys = lasting.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    edges = stash(ends.join(open_keys, "key", "left_semi").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "open")
+    if not edges.isEmpty():
+        family = components(edges).withColumnRenamed("component", "family")
+        family = stash(family.join(labels, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "families")
+        sets = full_sets(docs.join(small_side(family.select(F.col("id").alias("doc_id")), "members"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
+        more = stash(_late_links(family, sets, sketches, percent), "late")
+        labels = stash(components(links.union(more)), "components")
 
     parts = class_of.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).dropDuplicates(["doc_id"])
     return feats.select("doc_id", "n_shingles").join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their component (its least id), with all their columns; repeated rows of an id once."""
-    found = near_duplicates(docs, width, percent)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents that stand for their component (its least id), with all their columns; repeated rows of an id once.
+
+    Rows without an id stay. Where no id repeats, the few documents that go are joined away without moving the texts."""
+    found = stash(near_duplicates(docs, width, percent), "found")
+    n, ids = found.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    gone = small_side(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if n != ids:
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
