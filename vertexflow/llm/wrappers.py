@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_side
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|select|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
@@ -84,30 +86,37 @@ def marks(signature: str) -> tuple[str, bool, bool]:
 
 
 def regions(signatures: list[str]) -> list[str | None]:
-    """For each text token: '' outside the body, 'aside', or the strongest of 'article', 'main', 'content', 'body' around it."""
-    stack: list[tuple[str, str]] = []
+    """For each text token the strongest of 'body', 'content', 'main', 'article', 'aside' around it; None for tags.
+
+    Outside articles and main parts, a block whose texts are two links or more and nothing else is a menu, too."""
+    stack: list[tuple[str, str, int]] = []
     out: list[str | None] = []
+    blocks_: dict[int, list[tuple[int, bool]]] = {}
     rank = {"body": 0, "content": 1, "main": 2, "article": 3, "aside": 4}
-    for s in signatures:
+    for at, s in enumerate(signatures):
+        out.append(None)
         if s[0] == "<" and s[1] != "/":
             name, aside, content = marks(s)
-            above = stack[-1][1] if stack else "body"
-            own = "aside" if aside or name == "header" and above != "article" else name if name in ("article", "main") else "content" if content else "body"
             if name == "body":
                 stack.clear()  # an unclosed head ends here
-                above = "body"
+            above = stack[-1][1] if stack else "body"
+            own = "aside" if aside or name == "header" and above != "article" else name if name in ("article", "main") else "content" if content else "body"
             if name not in VOID:
-                stack.append((name, max(own, above, key=rank.get)))
-            out.append(None)
+                block = stack[-1][2] if stack and (name in INLINE or name == "li") else at
+                stack.append((name, max(own, above, key=rank.get), block))
         elif s[0] == "<":
             name = s[2:]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            out.append(None)
-        else:
-            out.append((stack[-1][1] if stack else "body") if s == "T" else None)
+        elif s == "T":
+            out[at] = stack[-1][1] if stack else "body"
+            blocks_.setdefault(stack[-1][2] if stack else -1, []).append((at, any(x[0] == "a" for x in stack)))
+    for texts in blocks_.values():
+        if len(texts) > 1 and all(linked for _, linked in texts):
+            for at, _ in texts:
+                out[at] = "aside" if out[at] in ("body", "content") else out[at]
     return out
 
 
@@ -194,18 +203,33 @@ def align(wrapper: list, page: list) -> list:
     return out
 
 
-def infer(pages: list[list[tuple[str, str]]], least: int = 3) -> list:
-    """The wrapper of token streams of one host. Fewer than `least` different pages show no template texts."""
-    wrapper: list | None = None
+def infer(pages: list[list[tuple[str, str]]], least: int = 3, alike: float = 0.5) -> list:
+    """The wrapper of token streams of one host. Fewer than `least` different pages show no template texts.
+
+    A page joins the first wrapper that it shares `alike` of its tokens with; the wrapper of most pages is the host's."""
+    found: list[list] = []  # [wrapper, pages]
     streams = {tuple((k, " ".join(t.split())) for k, t in tokens if k != " "): None for tokens in pages}
     for stream in streams:
         page = fold([["T", t] if k == "T" else k for k, t in stream])
-        wrapper = page if wrapper is None else align(wrapper, page)
-    return (wrapper if len(streams) >= least else slots(wrapper)) if wrapper else []
+        keys = [key(n) for n in page]
+        for own in found:
+            if SequenceMatcher(None, [key(n) for n in own[0]], keys, autojunk=False).ratio() >= alike:
+                own[:] = align(own[0], page), own[1] + 1
+                break
+        else:
+            found.append([page, 1])
+    if not found:
+        return []
+    wrapper, many = max(found, key=lambda x: x[1])
+    return wrapper if many >= least else slots(wrapper)
 
 
 def flat(nodes: list) -> list:
-    return [x for n in nodes for x in ([n] if isinstance(n, str) or n[0] == "T" else flat(n[1]))]
+    """The leaves in order; repeated groups twice, so that a menu shows as one."""
+    out = []
+    for n in nodes:
+        out += [n] if isinstance(n, str) or n[0] == "T" else flat(n[1]) * (2 if n[0] == "+" else 1)
+    return out
 
 
 def labelled(wrapper: list) -> tuple[list, list[str]]:
@@ -213,17 +237,17 @@ def labelled(wrapper: list) -> tuple[list, list[str]]:
     leaves = flat(wrapper)
     where = regions([n if isinstance(n, str) else "T" for n in leaves])
     region = chosen(where)
-    flags, fixed = [], []
+    flags: dict[int, bool] = {}
+    fixed = []
     for leaf, at in zip(leaves, where):
         if not isinstance(leaf, str):
             template = leaf[1] is not None and region in ("content", "body")
-            flags.append(at == region and not template)
+            flags[id(leaf)] = at == region and not template
             if template:
                 fixed.append(leaf[1])
-    todo = iter(flags)
 
     def walk(nodes):
-        return [n if isinstance(n, str) else ["T", next(todo)] if n[0] == "T" else [n[0], walk(n[1])] for n in nodes]
+        return [n if isinstance(n, str) else ["T", flags[id(n)]] if n[0] == "T" else [n[0], walk(n[1])] for n in nodes]
 
     return walk(wrapper), fixed
 
@@ -301,7 +325,7 @@ def extract(pages: DataFrame, sample: int = 16) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
     whole = 1 << 30
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("n"))
+    sizes = small_side(keyed.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     drawn = keyed.where("html IS NOT NULL").withColumn("draw", F.pmod(F.xxhash64("page_id", "url"), F.lit(whole)))
     picked = drawn.join(sizes, "host").where(F.col("draw") * F.col("n") < whole * sample).select("host", "draw", "html")
 
@@ -315,5 +339,5 @@ def extract(pages: DataFrame, sample: int = 16) -> DataFrame:
     def through(htmls: pd.Series, wrappers: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read(h, _loaded(w)) for h, w in zip(htmls, wrappers)], columns=["text", "by_wrapper"])
 
-    done = keyed.join(fitted, "host", "left").withColumn("_read", through("html", "wrapper"))
+    done = keyed.join(small_side(fitted, "wrappers"), "host", "left").withColumn("_read", through("html", "wrapper"))
     return done.select("page_id", "url", F.col("_read.text").alias("text"), F.length("_read.text").cast("long").alias("n_chars"), F.col("_read.by_wrapper").alias("by_wrapper"))
