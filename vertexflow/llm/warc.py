@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, work_dir
+from .common import arrow_batch, small_side, work_dir
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,7 +38,7 @@ def resolve(pages: DataFrame, least: int = 1000) -> DataFrame:
     headed = pages.select("page_id", F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
     headers = headed.where(F.col("payload_bytes") >= least).select("payload_digest", F.struct("page_id", "url").alias("at"))
     shared = headers.groupBy("payload_digest").agg(F.max("at").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = headed.join(shared, "payload_digest", "left")
+    joined = headed.join(small_side(shared, "shared"), "payload_digest", "left")
     revisit = F.col("original.page_id") != F.col("page_id")
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
@@ -139,7 +139,9 @@ def revisits(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of read(); revisits resolved by their originals."""
     heads = records.drop("payload")
     originals = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).dropDuplicates(["refers_to_id"])
-    joined = heads.join(originals, "refers_to_id", "left")
+    # responses refer to nothing: keys of their own keep them from meeting in one task
+    keyed = heads.withColumn("refers_to_id", F.coalesce("refers_to_id", F.concat(F.lit("none "), F.coalesce("record_id", F.lit("")))))
+    joined = keyed.join(originals, "refers_to_id", "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), F.coalesce("o_digest", "payload_digest").alias("payload_digest"), "record_type", F.col("o_id").alias("refers_to"))
 
 
