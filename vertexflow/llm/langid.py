@@ -53,8 +53,8 @@ def features(text: str | None) -> np.ndarray | None:
     letter[low] = _ALPHA[codes[low]]
     if not letter.any():
         return None
-    codes = np.where(letter, codes, 32).astype(np.uint32)
-    codes = np.concatenate([[32], codes[np.r_[True, letter[1:] | letter[:-1]]], [32]]).astype(np.uint32)
+    letter = np.r_[False, letter, False]  # runs of other characters, also at the ends, are one space
+    codes = np.where(letter, np.r_[np.uint32(32), codes, np.uint32(32)], np.uint32(32))[np.r_[True, letter[1:] | letter[:-1]]]
     one = codes * np.uint32(2654435761)
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(2246822519) + one[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(3266489917) + one[2:]

@@ -7,6 +7,7 @@ the lengths (at most `capacity` of them) come to the driver, which plans the seq
 2. configurations of the few rounded sizes are optimised by column generation (linear programme, knapsack pricing);
 3. the solution is rounded down and actual lengths, each at most its rounded size, are substituted into its places,
    but for the smallest place of a configuration: it takes up what rounding had wasted and is filled by the next step;
+   Some settings keep that place closed; of four settings the plan with the fewest sequences is taken;
 4. whatever is left, long ones first and then the small ones, goes where it leaves the least room (best fit).
 
 The plan is a table of intervals of (length, rank); its size depends on the capacity alone. Pieces get their
@@ -112,7 +113,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 class Plan:
     """Classes of equal sequences: [how many, room left, [(length, copies), ...]]."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 64, small_share: float = 1 / 3):
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 64, small_share: float = 1 / 3, leave_open: bool = True):
         self.capacity = capacity
         left = {int(k): int(v) for k, v in counts.items() if v}
         small = int(capacity * small_share)
@@ -126,7 +127,7 @@ class Plan:
                 merged.setdefault(size, []).extend(runs)
             large = list(merged.items())
             for pattern, times in configurations([s for s, _ in large], [sum(n for _, n in runs) for _, runs in large], capacity):
-                if pattern.sum() > 1:  # its smallest place stays open for whatever fits best
+                if leave_open and pattern.sum() > 1:  # its smallest place stays open for whatever fits best
                     pattern[np.flatnonzero(pattern)[-1]] -= 1
                 self._substitute(pattern, times, [runs for _, runs in large], left)
         self._best_fit(left)
@@ -205,12 +206,29 @@ class Plan:
         return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
+#: Groups, share of the capacity up to which lengths are small, whether a configuration's smallest place stays open.
+SETTINGS = ((64, 1 / 3, True), (64, 1 / 3, False), (64, 1 / 8, False), (32, 1 / 4, True))
+
+
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The plan with the fewest sequences of a few settings; the first that reaches the sum of lengths needs no other."""
+    least = -(-sum(k * v for k, v in counts.items()) // capacity)
+    best = None
+    for groups, share, leave_open in SETTINGS:
+        plan = Plan(counts, capacity, groups, share, leave_open)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= least:
+            break
+    return best
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 50_000) -> DataFrame:
     """Adds (sequence_id, offset) to rows with (doc_id, piece, length); lengths from 1 to capacity."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    table = Plan(counts, capacity).intervals()
+    table = best_plan(counts, capacity).intervals()
     salts = 16 + sum(counts.values()) // rows_per_salt
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))

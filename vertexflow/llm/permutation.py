@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVO
     width, n, n_queries = (sizes["width"], sizes["n"], sizes["q"]) if sizes else (0, 0, 0)
     clean = clean.where(F.size("embedding") == width)
     drawn = clean.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).collect()
-    centres = spread_pivots(np.array([r["embedding"] for r in drawn], float), pivots)
+    centres = spread_pivots(np.array([r["embedding"] for r in drawn], float).reshape(len(drawn), width), pivots)
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     deal = lambda many, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(many)).cast("int")
