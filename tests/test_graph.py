@@ -81,6 +81,32 @@ def test_edge_order_does_not_matter(spark):
     assert column(algorithms.sssp(make(spark, (n, shuffled))).graph.vertices, "distance") == oracles.sssp(n, edges)
 
 
+def test_hubs_are_dealt_apart_and_change_nothing(spark):
+    n, edges = STAR
+    df = spark.createDataFrame([(s, d, s + d) for s, d, _ in edges], "src long, dst long, weight int")
+    g, plain = Graph.of(df, n, hub_edges=3), Graph.of(df, n)
+    assert plain.heavy is None and [r["src"] for r in g.hubs.collect()] == [0] and g.heavy.count() == 19 and g.edge_count() == 38
+    assert column(algorithms.bfs(g, 4).graph.vertices, "level") == oracles.bfs(n, edges, 4)
+    ranks = algorithms.pagerank(g, epsilon=None, max_passes=3).graph.vertices
+    assert column(ranks, "rank") == pytest.approx(oracles.pagerank(n, edges, 3)[0], abs=1e-12)
+    new = edge_update(g, lambda s, e: {"weight": e["weight"] + s["outdeg"]}, VertexSubset.singleton(spark, n, 0))
+    assert sorted(r["weight"] for r in new.edges.where("src = 0").collect()) == [d + 19 for d in range(1, 20)]
+    assert column(g.out_degrees(), "outdeg") == column(plain.out_degrees(), "outdeg") == [19] + [1] * 19
+
+
+def test_state_is_not_shuffled_again(spark):
+    g = make(spark, RANDOM)
+    state = algorithms.bfs(g, max_rounds=1).graph
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        messages = edge_filter(state, frontier_of(state, 5), lambda s, e: s["level"] + 1, F.min)
+        plan = vertex_filter(state, messages, lambda v: v["level"].isNull(), lambda v: {"level": v["acc"]}).vertices._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above = plan.split("Scan ExistingRDD")[0]
+    assert "Exchange" not in above and "BroadcastHashJoin" in plan
+
+
 def test_negative_cycle_and_bad_source(spark):
     with pytest.raises(ValueError, match="negative"):
         algorithms.sssp(make(spark, (3, [(0, 1, 1), (1, 2, -3), (2, 0, 1)])))

@@ -34,8 +34,8 @@ def _from_source(graph: Graph, source: int, column: str, kind: str) -> Graph:
 def bfs(graph: Graph, source: int = 0, max_rounds: int | None = None) -> Run:
     """level: the number of edges from the source, null where it does not reach. Uncapped by default."""
 
-    def step(g: Graph) -> Graph:
-        messages = edge_filter(g, frontier_of(g), lambda s, e: s["level"] + 1, F.min)
+    def step(g: Graph, size) -> Graph:
+        messages = edge_filter(g, frontier_of(g, 1 if size is None else size), lambda s, e: s["level"] + 1, F.min)
         return vertex_filter(g, messages, lambda v: v["level"].isNull(), lambda v: {"level": v["acc"]})
 
     return iterate(_from_source(graph, source, "level", "int"), step, _frontier_done, capped(max_rounds))
@@ -46,10 +46,10 @@ def sssp(graph: Graph, source: int = 0, unit_weights: bool = False, max_rounds:
 
     unit_weights counts edges instead; a null weight counts 1. A frontier that is left after n passes has a cycle of negative weight: raises.
     """
-    weight = (lambda e: F.lit(1)) if unit_weights or "weight" not in graph.edges.columns else (lambda e: F.coalesce(e["weight"], F.lit(1)))
+    weight = (lambda e: F.lit(1)) if unit_weights or "weight" not in graph.light.columns else (lambda e: F.coalesce(e["weight"], F.lit(1)))
 
-    def step(g: Graph) -> Graph:
-        messages = edge_filter(g, frontier_of(g), lambda s, e: s["distance"] + weight(e), F.min)
+    def step(g: Graph, size) -> Graph:
+        messages = edge_filter(g, frontier_of(g, 1 if size is None else size), lambda s, e: s["distance"] + weight(e), F.min)
         return vertex_filter(g, messages, lambda v: v["distance"].isNull() | (v["distance"] > v["acc"]), lambda v: {"distance": v["acc"]})
 
     passes = 0
@@ -71,7 +71,7 @@ def pagerank(graph: Graph, damping: float = 0.85, epsilon: float | None = 1e-7,
         raise ValueError("give epsilon, max_passes or both")
     start = F.lit(1.0 / max(graph.n, 1))
 
-    def step(g: Graph) -> Graph:
+    def step(g: Graph, _) -> Graph:
         messages = edge_map(g, lambda s, e: s["rank"] / s["outdeg"], F.sum)
         new = lambda v: damping * v["acc"] + F.lit((1.0 - damping) / g.n)
         return vertex_map(g, lambda v: {"rank": new(v), "delta": new(v) - v["rank"]}, messages=messages, default=F.lit(0.0))
@@ -88,8 +88,8 @@ def pagerank(graph: Graph, damping: float = 0.85, epsilon: float | None = 1e-7,
 def max_propagation(graph: Graph, value: Column | None = None, max_rounds: int | None = None) -> Run:
     """value: the largest of the values of the vertices that reach a vertex, its own included."""
 
-    def step(g: Graph) -> Graph:
-        messages = edge_filter(g, frontier_of(g), lambda s, e: s["value"], F.max)
+    def step(g: Graph, size) -> Graph:
+        messages = edge_filter(g, frontier_of(g, size), lambda s, e: s["value"], F.max)
         return vertex_filter(g, messages, lambda v: v["value"] < v["acc"], lambda v: {"value": v["acc"]})
 
     start = value if value is not None else F.col("id")

@@ -18,6 +18,16 @@ def ensure_folder(spark: SparkSession) -> None:
 
 
 def barrier(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage; its partitioning survives, so the next join by the same key needs no shuffle."""
-    ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and cut from its lineage, in the partitions that its plan has.
+
+    Planned without adaptive execution: an adaptive plan's partitioning is unknown to what reads the checkpoint, a static one's is
+    known, so the next join by the same key moves only the messages, not the state.
+    """
+    spark = df.sparkSession
+    ensure_folder(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

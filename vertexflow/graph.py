@@ -10,29 +10,56 @@ from pyspark.sql import functions as F
 OUT_DEGREE = "outdeg"
 
 
+#: A source with more edges than this, and than a quarter of a partition's share, is a hub.
+HUB_EDGES = 100_000
+
+
 @dataclass(frozen=True)
 class Graph:
-    """vertices: id in 0..n-1 and state columns. edges: src, dst, attributes and the out-degree of src.
+    """vertices: id in 0..n-1 and state columns. Edges: src, dst, attributes and the out-degree of src.
 
     Loops and parallel edges stay and count. Vertices without edges exist: the vertex set is the range, not the ends.
+    Edges lie dealt and sorted by src, those of hubs apart and dealt by both ends; hubs are at most 4 per partition.
     """
 
     vertices: DataFrame
-    edges: DataFrame
+    light: DataFrame
     n: int
+    heavy: DataFrame | None = None
+    hubs: DataFrame | None = None
 
     @classmethod
-    def of(cls, edges: DataFrame, n: int, partitions: int | None = None, cache: bool = True) -> Graph:
-        """Edges (src, dst, attributes...) are dealt by src once and kept; each superstep joins them where they lie."""
+    def of(cls, edges: DataFrame, n: int, partitions: int | None = None, cache: bool = True, hub_edges: int = HUB_EDGES) -> Graph:
+        """Edges (src, dst, attributes...) are dealt once and kept; each superstep joins them where they lie."""
         spark = edges.sparkSession
         many = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         degree = edges.groupBy("src").agg(F.count("*").alias(OUT_DEGREE))
-        dealt = edges.repartition(many, "src").join(degree, "src")
-        return cls(spark.range(n), dealt.persist() if cache else dealt, n)
+        m, most = degree.agg(F.sum(OUT_DEGREE), F.max(OUT_DEGREE)).first()
+        least = max(hub_edges, (m or 0) // (4 * many))
+        keep = (lambda df: df.persist()) if cache else (lambda df: df)
+        heavy = hubs = None
+        rest = edges
+        if (most or 0) > least:
+            hubs = degree.where(F.col(OUT_DEGREE) > least)  # fewer than m / least rows: 4 per partition at most
+            hubs = spark.createDataFrame(hubs.collect(), hubs.schema)
+            rest = edges.join(F.broadcast(hubs.select("src")), "src", "left_anti")
+            heavy = keep(edges.join(F.broadcast(hubs), "src").repartition(many, "src", "dst"))
+        dealt = rest.repartition(many, "src")
+        # the count reuses the exchange that deals the edges
+        light = keep(dealt.join(dealt.groupBy("src").agg(F.count("*").alias(OUT_DEGREE)), "src").sortWithinPartitions("src"))
+        return cls(spark.range(n), light, n, heavy, hubs)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.light if self.heavy is None else self.light.unionByName(self.heavy)
+
+    def with_edges(self, change) -> Graph:
+        """The graph with change(edges) for each part of its edges; src and the out-degree must stay."""
+        return replace(self, light=change(self.light), heavy=None if self.heavy is None else change(self.heavy))
 
     @property
     def spark(self) -> SparkSession:
-        return self.edges.sparkSession
+        return self.light.sparkSession
 
     def with_vertices(self, vertices: DataFrame) -> Graph:
         return replace(self, vertices=vertices)
@@ -76,4 +103,6 @@ class Graph:
         return self.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce("neighbours", nothing).alias("neighbours"))
 
     def release(self) -> None:
-        self.edges.unpersist()
+        self.light.unpersist()
+        if self.heavy is not None:
+            self.heavy.unpersist()

@@ -22,20 +22,27 @@ class Run:
     converged: bool = False
     steps: list[dict] = field(default_factory=list)
 
+    @property
+    def measure(self):
+        """What the last test measured; None before the first step."""
+        return self.steps[-1]["measure"] if self.steps else None
+
     @property
     def iterations(self) -> int:
         return self.passes - 1 if self.converged and self.passes else self.passes
 
 
-def iterate(graph: Graph, step: Callable[[Graph], Graph], done: Callable[[Graph], tuple[bool, object]], max_passes: int | None = None) -> Run:
+def iterate(graph: Graph, step: Callable[[Graph, object], Graph], done: Callable[[Graph], tuple[bool, object]], max_passes: int | None = None) -> Run:
     """Applies step until done(graph) says so, or max_passes times. Each step's vertex state passes a barrier.
 
+    step gets the last measure, too (None at first), for instance the size of the frontier.
+
     done gets the written state, so that its test reads it and computes nothing again; it returns (stop, measure).
     """
     run = Run(graph)
     while max_passes is None or run.passes < max_passes:
         began = time.perf_counter()
-        new = step(run.graph)
+        new = step(run.graph, run.measure)
         run.graph = new.with_vertices(barrier(new.vertices))
         run.passes += 1
         stop, measure = done(run.graph)

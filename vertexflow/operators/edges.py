@@ -33,13 +33,21 @@ Gather = Callable[[Columns, Columns], Column]
 Reduce = Callable[[Column], Column] | dict[str, Callable[[Column], Column]]
 
 
+#: A frontier of at most so many vertices is sent to the edges, a larger one meets them in the partitions of their sources.
+BROADCAST_ROWS = 100_000
+
+
 def _expanded(graph: Graph, subset: VertexSubset | None) -> tuple[DataFrame, Columns, Columns]:
     """Edges whose source is in the subset, with the state of the source."""
     active = subset.restrict(graph.vertices) if subset else graph.vertices
     state = active.select(F.col("id").alias("src"), *(F.col(c).alias(_SOURCE + c) for c in active.columns if c != "id"))
-    joined = graph.edges.join(state, "src")
+    few = subset is not None and subset.known_size is not None and subset.known_size <= BROADCAST_ROWS
+    joined = graph.light.join(F.broadcast(state) if few else state, "src")
+    if graph.heavy is not None:
+        hub_state = state.join(F.broadcast(graph.hubs.select("src")), "src", "left_semi")
+        joined = joined.unionByName(graph.heavy.join(F.broadcast(hub_state), "src"))
     source = Columns({c: _SOURCE + c for c in active.columns if c != "id"} | {"id": "src", OUT_DEGREE: OUT_DEGREE})
-    return joined, source, Columns({c: c for c in graph.edges.columns})
+    return joined, source, Columns({c: c for c in graph.light.columns})
 
 
 def _accumulate(expanded: DataFrame, value: Column, reduce: Reduce) -> DataFrame:
@@ -66,7 +74,7 @@ def edge_map(graph: Graph, gather: Gather, reduce: Reduce, subset: VertexSubset
 
 def edge_update(graph: Graph, changes: Callable[[Columns, Columns], dict[str, Column]], subset: VertexSubset | None = None) -> Graph:
     """New attributes for the edges that leave the subset; other edges keep theirs (null where they had none)."""
-    vertices, edges = graph.vertices, graph.edges
+    vertices, edges = graph.vertices, graph.light
     if subset is not None:
         vertices = subset.flag(vertices, "_member")
     state = vertices.select(F.col("id").alias("src"), *(F.col(c).alias(_SOURCE + c) for c in vertices.columns if c != "id"))
@@ -74,6 +82,11 @@ def edge_update(graph: Graph, changes: Callable[[Columns, Columns], dict[str, Co
     new = changes(source, Columns({c: c for c in edges.columns}))
     if subset is not None:
         new = {k: F.when(F.col(_SOURCE + "_member"), v).otherwise(F.col(k) if k in edges.columns else F.lit(None)) for k, v in new.items()}
-    joined = edges.join(state, "src").withColumns({"_new_" + k: v for k, v in new.items()})
     kept = [F.col(c) for c in edges.columns if c not in new]
-    return Graph(graph.vertices, joined.select(*kept, *(F.col("_new_" + k).alias(k) for k in new)), graph.n)
+
+    def change(part: DataFrame) -> DataFrame:
+        met = state if part is graph.light else F.broadcast(state.join(F.broadcast(graph.hubs.select("src")), "src", "left_semi"))
+        joined = part.join(met, "src").withColumns({"_new_" + k: v for k, v in new.items()})
+        return joined.select(*kept, *(F.col("_new_" + k).alias(k) for k in new))
+
+    return graph.with_edges(change)

@@ -47,8 +47,9 @@ def activate(graph: Graph, cond: Callable[[Columns], Column], update: Update) ->
     return graph.with_vertices(_changed(df, state, cond(v), update(v), True))
 
 
-def frontier_of(graph: Graph) -> VertexSubset:
-    return VertexSubset(graph.vertices.where(HIT).select("id"), graph.n)
+def frontier_of(graph: Graph, size: int | None = None) -> VertexSubset:
+    """The vertices that the last step updated; size, where it is known, lets a small frontier be sent to the edges."""
+    return VertexSubset(graph.vertices.where(HIT).select("id"), graph.n, size)
 
 
 def vertex_map(graph: Graph, update: Update, subset: VertexSubset | None = None, messages: DataFrame | None = None, default: Column | None = None) -> Graph:

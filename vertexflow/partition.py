@@ -36,4 +36,4 @@ def cut_edges(graph: Graph, parts: int, strategy: Strategy = random_edge_cut) ->
 
 def deal(graph: Graph, parts: int, strategy: Strategy = random_edge_cut) -> Graph:
     """The graph with its edges dealt to Spark partitions by the part of their source."""
-    return Graph(graph.vertices, graph.edges.repartition(parts, strategy(F.col("src"), parts)), graph.n)
+    return graph.with_edges(lambda edges: edges.repartition(parts, strategy(F.col("src"), parts)))

@@ -66,7 +66,7 @@ def read_edge_list(spark: SparkSession, path: str, n: int | None = None, unit_we
 
 def write_edge_list(graph: Graph, path: str) -> None:
     """The edge list of a graph as one file in the folder `path`: a header and edges by source."""
-    weight = [F.col("weight").cast("string")] if "weight" in graph.edges.columns else []
+    weight = [F.col("weight").cast("string")] if "weight" in graph.light.columns else []
     lines = graph.edges.select("src", "dst", F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), *weight).alias("value"))
     header = graph.spark.createDataFrame([(-1, -1, f"{graph.n} {graph.edge_count()}")], "src long, dst long, value string")
     header.union(lines).coalesce(1).sortWithinPartitions("src", "dst").select("value").write.text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,7 @@ class VertexSubset:
 
     ids: DataFrame
     n: int
+    known_size: int | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, n: int) -> VertexSubset:
@@ -30,7 +31,7 @@ class VertexSubset:
     def singleton(cls, spark: SparkSession, n: int, vertex: int) -> VertexSubset:
         if not 0 <= vertex < n:
             raise ValueError(f"vertex {vertex} is not in 0..{n - 1}")
-        return cls(spark.range(vertex, vertex + 1), n)
+        return cls(spark.range(vertex, vertex + 1), n, 1)
 
     @classmethod
     def of(cls, df: DataFrame, n: int, column: str = "id") -> VertexSubset:
@@ -82,7 +83,3 @@ class VertexSubset:
         """df with a boolean column that says whether its row is in the set (left join)."""
         marked = self.ids.select(F.col("id").alias(column), F.lit(True).alias(name))
         return df.join(marked, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-
-
-def member(flag: str) -> Column:
-    return F.col(flag)
