@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, stash
+from .common import WORD, Memo, small_side, stash
 
 SYMBOLS = "#*$%&|<>"
 SCRIPTS = ("Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Hangul", "Han", "Hiragana", "Katakana")
@@ -158,7 +158,7 @@ def _judged(measured: DataFrame, language: str, bands: dict, widths: tuple, leas
     band = F.coalesce(fixed[f["script"]], fixed["other"])
     inside = f["chars_per_token"].between(band[0], band[1]) & (f["byte_share"] <= band[2])
     usual = F.coalesce(f["chars_per_token"].between(F.col("_low"), F.col("_high")) & (f["token_entropy"] >= F.col("_least")), F.lit(True))
-    joined = keyed.join(limits, (F.col("_group") == F.col("_g")) & (F.col("_class") == F.col("_k")), "left")
+    joined = keyed.join(small_side(limits, "bands"), (F.col("_group") == F.col("_g")) & (F.col("_class") == F.col("_k")), "left")
     return joined.withColumn("_kept", F.coalesce(~f["base_failed"] & inside & usual, F.lit(False)))
 
 
