@@ -116,7 +116,7 @@ class PieceMeter:
 
 
 def _measured(docs: DataFrame, path: str) -> DataFrame:
-    """docs with a struct _fertility."""
+    """docs with a struct __vf_fertility."""
     names = [c.split()[0] for c in MEASURES.split(", ")]
 
     @F.pandas_udf(MEASURES)
@@ -131,35 +131,35 @@ def _measured(docs: DataFrame, path: str) -> DataFrame:
             rows.append((*base, *((script_of(text), base[1] / n, byte_share, entropy) if n else (None,) * 4), n))
         return pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn("_fertility", fertility("text"))
+    return docs.withColumn("__vf_fertility", fertility("text"))
 
 
 _METER: tuple[str, PieceMeter] | None = None  # of this Python worker
 
 
 def _judged(measured: DataFrame, language: str, bands: dict, widths: tuple, least: int) -> DataFrame:
-    """measured with _kept."""
-    f = {k: F.col(f"_fertility.{k}") for k in ("script", "chars_per_token", "byte_share", "token_entropy", "n_tokens", "base_failed")}
+    """measured with __vf_kept."""
+    f = {k: F.col(f"__vf_fertility.{k}") for k in ("script", "chars_per_token", "byte_share", "token_entropy", "n_tokens", "base_failed")}
     group = F.coalesce(F.col(language), f["script"]) if language in measured.columns else f["script"]
-    keyed = measured.withColumn("_group", group).withColumn("_class", F.when(f["n_tokens"] > 0, F.floor(F.log2(f["n_tokens"])).cast("int")))
+    keyed = measured.withColumn("__vf_group", group).withColumn("__vf_class", F.when(f["n_tokens"] > 0, F.floor(F.log2(f["n_tokens"])).cast("int")))
     middle = (
         keyed.where(~f["base_failed"])
-        .select("_group", "_class", f["chars_per_token"].alias("c"), f["token_entropy"].alias("e"))
-        .groupBy("_group", "_class")
+        .select("__vf_group", "__vf_class", f["chars_per_token"].alias("c"), f["token_entropy"].alias("e"))
+        .groupBy("__vf_group", "__vf_class")
         .agg(F.count("*").alias("n"), F.percentile_approx("c", [0.25, 0.5]).alias("c"), F.percentile_approx("e", [0.25, 0.5]).alias("e"))
         .where(F.col("n") >= least)
     )
     spread = lambda x: (F.col(x)[1] - F.col(x)[0]) / 0.6745
     limits = middle.select(
-        F.col("_group").alias("_g"), F.col("_class").alias("_k"),
-        (F.col("c")[1] - widths[0] * spread("c")).alias("_low"), (F.col("c")[1] + widths[1] * spread("c")).alias("_high"), (F.col("e")[1] - widths[2] * spread("e")).alias("_least"),
+        F.col("__vf_group").alias("__vf_g"), F.col("__vf_class").alias("__vf_k"),
+        (F.col("c")[1] - widths[0] * spread("c")).alias("__vf_low"), (F.col("c")[1] + widths[1] * spread("c")).alias("__vf_high"), (F.col("e")[1] - widths[2] * spread("e")).alias("__vf_least"),
     )
     fixed = F.create_map(*(x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     band = F.coalesce(fixed[f["script"]], fixed["other"])
     inside = f["chars_per_token"].between(band[0], band[1]) & (f["byte_share"] <= band[2])
-    usual = F.coalesce(f["chars_per_token"].between(F.col("_low"), F.col("_high")) & (f["token_entropy"] >= F.col("_least")), F.lit(True))
-    joined = keyed.join(small_side(limits, "bands"), (F.col("_group") == F.col("_g")) & (F.col("_class") == F.col("_k")), "left")
-    return joined.withColumn("_kept", F.coalesce(~f["base_failed"] & inside & usual, F.lit(False)))
+    usual = F.coalesce(f["chars_per_token"].between(F.col("__vf_low"), F.col("__vf_high")) & (f["token_entropy"] >= F.col("__vf_least")), F.lit(True))
+    joined = keyed.join(small_side(limits, "bands"), (F.col("__vf_group") == F.col("__vf_g")) & (F.col("__vf_class") == F.col("__vf_k")), "left")
+    return joined.withColumn("__vf_kept", F.coalesce(~f["base_failed"] & inside & usual, F.lit(False)))
 
 
 def rate(docs: DataFrame, path: str, language: str = "lang", bands: dict | None = None, widths: tuple = WIDTHS, least: int = 100) -> DataFrame:
@@ -167,9 +167,9 @@ def rate(docs: DataFrame, path: str, language: str = "lang", bands: dict | None
     columns = [c for c in ("doc_id", language) if c in docs.columns]
     measured = stash(_measured(docs.select(*columns, "text"), path).drop("text"), "fertility")
     judged = _judged(measured, language, bands or BANDS, widths, least)
-    return judged.select("doc_id", "_fertility.*", F.col("_kept").alias("kept"))
+    return judged.select("doc_id", "__vf_fertility.*", F.col("__vf_kept").alias("kept"))
 
 
 def keep(docs: DataFrame, path: str, language: str = "lang", bands: dict | None = None, widths: tuple = WIDTHS, least: int = 100) -> DataFrame:
     """The documents that are kept, with their columns as they were; texts are written once and not shuffled."""
-    return _judged(stash(_measured(docs, path), "fertility"), language, bands or BANDS, widths, least).where("_kept").select(*docs.columns)
+    return _judged(stash(_measured(docs, path), "fertility"), language, bands or BANDS, widths, least).where("__vf_kept").select(*docs.columns)

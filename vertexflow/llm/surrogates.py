@@ -254,18 +254,18 @@ def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, few: int = 10_000, draw=s
             rewrite = _rewriter(key, draw, table)
             return pd.DataFrame([rewrite(t) for t in texts], columns=["text", "n"])
 
-        done = docs.withColumn("_new", apply("text"))
+        done = docs.withColumn("__vf_new", apply("text"))
     else:
         # a document's own entities that moved, looked up by the digest of its text
 
         def mentions(batches):
-            schema = pa.schema([("_digest", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+            schema = pa.schema([("__vf_digest", pa.string()), ("kind", pa.string()), ("value", pa.string())])
             for (texts,) in arrow_rows(batches, "text"):
                 found = [(hashlib.sha256(t.encode()).hexdigest(), k, v) for t in texts if t for k, v in sorted({x[2:] for x in find(t)})]
                 yield arrow_batch(schema, *(zip(*found) if found else [[]] * 3))
 
-        own = docs.select("text").mapInArrow(mentions, "_digest string, kind string, value string").distinct().join(moved, ["kind", "value"])
-        own = own.groupBy("_digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_moved"))
+        own = docs.select("text").mapInArrow(mentions, "__vf_digest string, kind string, value string").distinct().join(moved, ["kind", "value"])
+        own = own.groupBy("__vf_digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__vf_moved"))
 
         @F.pandas_udf(result)
         def apply_own(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
@@ -273,7 +273,7 @@ def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, few: int = 10_000, draw=s
             tables = [{} if x is None else {(r["kind"], r["value"]): r["attempt"] for r in x} for x in lists]
             return pd.DataFrame([rewrite(*x) for x in zip(texts, tables)], columns=["text", "n"])
 
-        done = docs.withColumn("_digest", F.sha2(F.col("text"), 256)).join(own, "_digest", "left").withColumn("_new", apply_own("text", "_moved"))
-    columns = {"text": F.col("_new.text"), "n_chars": F.length("_new.text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+        done = docs.withColumn("__vf_digest", F.sha2(F.col("text"), 256)).join(own, "__vf_digest", "left").withColumn("__vf_new", apply_own("text", "__vf_moved"))
+    columns = {"text": F.col("__vf_new.text"), "n_chars": F.length("__vf_new.text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     kept = [columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns]
-    return done.select(*kept, *([F.col("_new.n").alias(counted)] if counted else []))
+    return done.select(*kept, *([F.col("__vf_new.n").alias(counted)] if counted else []))
