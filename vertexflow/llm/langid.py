@@ -64,19 +64,21 @@ def features(text: str | None) -> np.ndarray | None:
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights (the bias last) of the hinge loss, by dual coordinate descent; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    w, alpha, norms = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1)
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
+    """Weights (the bias last) of the hinge loss on some rows of x, by dual coordinate descent.
+
+    x holds unit vectors, a constant 1 behind them, and is not copied; y is 1 or -1 for each of the rows."""
+    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(rows))
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * float(x[i] @ w) - 1) / norms[i], 0.0), weight[i])
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * float(row @ w) - 1) / 2.0, 0.0), weight[i])
             if new != alpha[i]:
                 moved = max(moved, abs(new - alpha[i]))
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * row
                 alpha[i] = new
         if moved < 1e-3:
             break
@@ -87,16 +89,16 @@ class Model:
     """Families, their machines, and the machines of pairs of languages of a family."""
 
     def __init__(self, x: np.ndarray, labels: list[str]):
-        langs = np.array(labels)
+        langs, every = np.array(labels), np.arange(len(labels))
         family = np.array([FAMILY_OF.get(v, v) for v in labels])
         self.families = sorted(set(family))
         self.languages = {f: sorted(set(langs[family == f])) for f in self.families}
-        self.outer = np.array([linear_svm(x, np.where(family == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else None
+        self.outer = np.array([linear_svm(x, every, np.where(family == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else None
         self.inner = {}
         for f in self.families:
             for a, b in combinations(self.languages[f], 2):
-                at = (langs == a) | (langs == b)
-                self.inner[a, b] = linear_svm(x[at], np.where(langs[at] == a, 1, -1))
+                at = np.flatnonzero((langs == a) | (langs == b))
+                self.inner[a, b] = linear_svm(x, at, np.where(langs[at] == a, 1, -1))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         share = lambda m: 1 / (1 + np.exp(-4.0 * m))
@@ -129,13 +131,23 @@ def train(docs: DataFrame, sample: int = 6000) -> Model | None:
     picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < bound[F.col("lang")])
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
+        schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
         for langs, texts in arrow_rows(batches, "lang", "text"):
-            rows = [(lang, x.tobytes()) for lang, x in zip(langs, map(features, texts)) if x is not None]
-            yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 2))
-
-    rows = sorted(picked.select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * sample).collect())
-    return Model(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows]) if rows else None
+            rows = []
+            for lang, x in zip(langs, map(features, texts)):
+                if x is not None:
+                    at = np.flatnonzero(x)
+                    rows.append((lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
+            yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 3))
+
+    rows = sorted(picked.select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").limit(2 * sample).collect())
+    x = np.zeros((len(rows), SIZE + 1), np.float32)
+    x[:, SIZE] = 1
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
+    labels = [r["lang"] for r in rows]
+    del rows
+    return Model(x, labels) if labels else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
