@@ -13,6 +13,8 @@ def test_article_alone():
     assert read(None, None)[0] == read("", None)[0] == read("<nav>x</nav>", None)[0] == ""
     assert read("<p><b>one<br><p>two</p><p>three", None)[0] == "one\ntwo\nthree"
     assert read("plain &amp text", None)[0] == "plain & text"
+    wordpress = "<div class='site-header'>S</div><div class='post'><div class='entry-header'><h1>T</h1></div><p>x</p><div class='post-navigation'>n</div><ol class='commentlist'><li>c</ol></div>"
+    assert read(wordpress, None)[0] == "T\nx"
 
 
 def page(k, paragraphs, extra=""):

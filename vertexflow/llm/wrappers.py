@@ -81,8 +81,10 @@ def marks(signature: str) -> tuple[str, bool, bool]:
     attrs = dict(x.split("=", 1) for x in re.findall(r"(?:class|id|role)=.*?(?= (?:class|id|role)=|$)", rest))
     plain = re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get("class", "") + " " + attrs.get("id", ""))
     words = set(re.findall(r"[a-z]+", plain.lower()))
-    aside = name in ASIDE_TAGS or attrs.get("role", "") in ASIDE_ROLES or bool(words & ASIDE_WORDS)
-    return name, aside, not aside and bool(words & CONTENT_WORDS)
+    content = bool(words & CONTENT_WORDS)
+    against = words & ASIDE_WORDS - ({"header"} if content else set())  # an entry's header holds its title
+    aside = name in ASIDE_TAGS or attrs.get("role", "") in ASIDE_ROLES or bool(against)
+    return name, aside, content and not aside
 
 
 def regions(signatures: list[str]) -> list[str | None]:
