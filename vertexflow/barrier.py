@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def ensure_folder(spark: SparkSession) -> None:
     """Uses the session's spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/vertexflow-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vertexflow-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
 
