@@ -102,9 +102,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = 0.1, least: int = 512, block: int = 8192, query_block: int = 2048, sample: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = 0.1, least: int = 512, block: int = 8192, query_block: int = 16_384, sample: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of (vec_id, embedding) by Euclidean distance for the rows where `queries` holds."""
-    clean = vectors.where("vec_id IS NOT NULL").where(valid(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    clean = vectors.where("vec_id IS NOT NULL").where(valid(F.col("embedding"))).select("vec_id", "embedding")
     sizes = clean.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).orderBy(F.desc("n"), "width").first()
     width, n, n_queries = (sizes["width"], sizes["n"], sizes["q"]) if sizes else (0, 0, 0)
     clean = clean.where(F.size("embedding") == width)
@@ -119,7 +119,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVO
     def search(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if vecs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(vecs["vec_id"].to_numpy(), np.stack(vecs["embedding"]), qs["vec_id"].to_numpy(), np.stack(qs["embedding"]), centres, k, prefix, share, least)
+        return search_block(vecs["vec_id"].to_numpy(), np.stack(vecs["embedding"]).astype(float), qs["vec_id"].to_numpy(), np.stack(qs["embedding"]).astype(float), centres, k, prefix, share, least)
 
     found = index.cogroup(asked).applyInPandas(search, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
