@@ -294,8 +294,8 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 3, sample
 
         def run(batches):
             for batch in batches:
-                for row in batch.to_pylist():
-                    yield pa.RecordBatch.from_pandas(work(row), schema=schema, preserve_index=False)
+                for k in range(batch.num_rows):  # one bucket in Python at a time
+                    yield pa.RecordBatch.from_pandas(work(batch.slice(k, 1).to_pylist()[0]), schema=schema, preserve_index=False)
 
         return run
 
