@@ -119,10 +119,12 @@ class Model:
         return best, score * votes[best] / (len(langs) - 1)
 
 
-def train(docs: DataFrame, sample: int = 6000) -> Model | None:
-    """docs: (doc_id, text, lang), labelled rows to learn from."""
+def train(docs: DataFrame, sample: int = 6000, most: int = 500) -> Model | None:
+    """docs: (doc_id, text, lang), labelled rows to learn from. More than `most` languages are refused: a label column gone wrong."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     if not counts:
         return None
     each = sample / len(counts)
