@@ -42,6 +42,21 @@ def test_missing_file_and_no_header(spark, tmp_path):
     assert rows(read_edge_list(spark, str(f), n=3, header=False), "src", "dst") == [(0, 1), (1, 2)]
 
 
+def test_many_splits_and_files(spark, tmp_path):
+    n = 4000
+    edges = [(i, (i * 7 + 1) % n) for i in range(n)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text(f"# c\n{n} {n}\n" + "".join(f"{s} {d}\n" for s, d in edges[:500]))
+    (tmp_path / "d" / "b.txt").write_text("".join(f"{s} {d}\n" for s, d in edges[500:]))
+    (tmp_path / "m.graph").write_text(f"{n} {n // 2}\n" + "".join(f"{d + 1}\n" for _, d in edges))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert rows(read_edge_list(spark, str(tmp_path / "d")), "src", "dst") == sorted(edges, key=str)
+        assert rows(read_metis(spark, str(tmp_path / "m.graph")), "src", "dst") == sorted(edges, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_no_edges(spark, tmp_path):
     f = tmp_path / "iso.txt"
     f.write_text("# isolated\n5 0\n")

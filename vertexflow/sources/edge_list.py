@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -11,16 +11,27 @@ COMMENT = r"^\s*[#%]"
 
 
 def numbered_lines(spark: SparkSession, path: str, comments: str = COMMENT, blank: bool = False) -> DataFrame:
-    """(at, value): lines without comments, with numbers that follow their order in one file.
+    """(part, at, value): lines without comments. Parts are the splits of the files, by name and offset; `at` follows the lines in a part.
 
-    Text splits of a file keep their order in the partitions' ids, and lines in a partition are read in order, so
-    monotonically increasing ids of an unshuffled scan are enough; no global sort is needed.
+    A split is read in order by one task, so increasing ids of an unshuffled scan are enough; no global sort is needed.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    part = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
+    lines = spark.read.text(path).select("value", part.alias("part")).withColumn("at", F.monotonically_increasing_id())
     kept = lines.where(~F.col("value").rlike(comments))
     return kept if blank else kept.where(F.trim("value") != "")
 
 
+def first_line(lines: DataFrame) -> Row | None:
+    """The first of numbered lines; an aggregate with one row."""
+    return lines.agg(F.min(F.struct("part", "at", "value")).alias("x")).first()["x"]
+
+
+def after(line: Row):
+    """Whether a line comes after a given one."""
+    same = (F.col("part.file") == line["part"]["file"]) & (F.col("part.offset") == line["part"]["offset"])
+    return ~same | (F.col("at") > line["at"])
+
+
 def _numbers(column: str) -> Column:
     return F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ")
 
@@ -39,15 +50,14 @@ def read_edge_list(spark: SparkSession, path: str, n: int | None = None, unit_we
     expected = None
     body = lines
     if with_header:
-        # few bytes of driver state: the line with the least number
-        first = lines.agg(F.min_by(F.struct("at", "value"), "at").alias("x")).first()["x"]
+        first = first_line(lines)
         if first is None:
             raise ValueError(f"{path} has no header")
         parts = first["value"].split()
         if len(parts) < 2 or not all(p.isdigit() for p in parts[:2]):
             raise ValueError(f"malformed header {first['value']!r}")
         n, expected = (int(parts[0]) if n is None else n), int(parts[1])
-        body = lines.where(F.col("at") > first["at"])
+        body = lines.where(after(first))
     x = _numbers("value")
     src, dst, weight = (F.try_element_at(x, F.lit(k)).try_cast("long") for k in (1, 2, 3))
     edges = body.select(src.alias("src"), dst.alias("dst"), (F.lit(1) if unit_weights else weight.cast("int")).alias("weight"), "value")

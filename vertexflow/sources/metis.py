@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .edge_list import numbered_lines
+from .edge_list import after, first_line, numbered_lines
 
 
 def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
@@ -15,10 +15,10 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
 
     A blank line is a vertex without neighbours, missing lines at the end are such vertices, `#` and `%` start comment
     lines, `#` also ends a line. Weighted formats (a third number in the header) are refused. Lines are numbered
-    from counts per scan partition, which are few, and positions within them; no partition holds all lines.
+    from counts per split of the file, which are few, and positions within them; no partition holds all lines.
     """
     lines = numbered_lines(spark, path, blank=True).withColumn("value", F.regexp_replace("value", "#.*$", ""))
-    first = lines.where(F.trim("value") != "").agg(F.min_by(F.struct("at", "value"), "at").alias("x")).first()["x"]
+    first = first_line(lines.where(F.trim("value") != ""))
     if first is None:
         raise ValueError(f"{path} has no header")
     head = first["value"].split()
@@ -27,7 +27,7 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
     if len(head) < 2 or not all(h.isdigit() for h in head[:2]):
         raise ValueError(f"malformed header {first['value']!r}")
     n, m = int(head[0]), int(head[1])
-    rows = lines.where(F.col("at") > first["at"]).withColumn("part", F.shiftright("at", 33))
+    rows = lines.where(after(first))
     sizes = rows.groupBy("part").agg(F.count("*").alias("lines"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
