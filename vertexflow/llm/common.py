@@ -47,10 +47,12 @@ def small_side(df: DataFrame, name: str, rows: int = 200_000, size: int = 16_000
     return F.broadcast(written) if n <= rows and held <= size else written
 
 
-def arrow_rows(batches, *names):
-    """For each Arrow batch the named columns as Python lists."""
+def arrow_rows(batches, *names, rows: int = 1000):
+    """The named columns as Python lists, at most `rows` rows at a time: long texts are copied in small portions."""
     for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for at in range(0, batch.num_rows, rows):
+            yield [c.slice(at, rows).to_pylist() for c in columns]
 
 
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -60,7 +62,7 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 class Memo(dict):
     """A bounded cache of a pure function; it is emptied when full, which changes no result."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
