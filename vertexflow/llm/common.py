@@ -60,15 +60,18 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 class Memo(dict):
-    """A bounded cache of a pure function; it is emptied when full, which changes no result."""
+    """A bounded cache of a pure function in two generations: a full one becomes the old one, from which what is used again moves on."""
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 150_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         if len(key) <= 64:
             self[key] = value
