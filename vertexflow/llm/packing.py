@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         tok = WordTokenizer(path, library=True)
-        get = Memo(lambda chunk: little_endian(tok.chunk_ids(chunk))).__getitem__
+        get = Memo(lambda chunk: little_endian(tok.chunk_ids(chunk)), 250_000).__getitem__
         end = little_endian([end_id])
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             rows = []
@@ -211,14 +211,14 @@ SETTINGS = ((64, 1 / 3, True), (64, 1 / 3, False), (64, 1 / 8, False), (32, 1 /
 
 
 def best_plan(counts: dict[int, int], capacity: int) -> Plan:
-    """The plan with the fewest sequences of a few settings; the first that reaches the sum of lengths needs no other."""
+    """The plan with the fewest sequences of a few settings; one within a ten-thousandth of the sum of lengths needs no other."""
     least = -(-sum(k * v for k, v in counts.items()) // capacity)
     best = None
     for groups, share, leave_open in SETTINGS:
         plan = Plan(counts, capacity, groups, share, leave_open)
         if best is None or plan.sequences < best.sequences:
             best = plan
-        if best.sequences <= least:
+        if best.sequences <= least + least // 10_000:
             break
     return best
 
