@@ -64,31 +64,41 @@ def features(text: str | None) -> np.ndarray | None:
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights (the bias last) of the hinge loss on some rows of x, by dual coordinate descent.
+class Sparse:
+    """Unit vectors by their non-zero places, each with a constant 1 behind them."""
 
-    x holds unit vectors, a constant 1 behind them, and is not copied; y is 1 or -1 for each of the rows."""
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(rows))
+    def __init__(self, places: list[bytes], values: list[bytes]):
+        self.ends = np.cumsum([0] + [len(p) // 2 for p in places])
+        self.places = np.frombuffer(b"".join(places), np.uint16)
+        self.values = np.frombuffer(b"".join(values), np.float32)
+
+
+def linear_svm(x: Sparse, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
+    """Weights (the bias last) of the hinge loss on some rows of x, by dual coordinate descent; y is 1 or -1 for each of the rows."""
+    w, bias, alpha = np.zeros(SIZE, np.float32), 0.0, np.zeros(len(rows))
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            row = x[rows[i]]
-            new = min(max(alpha[i] - (y[i] * float(row @ w) - 1) / 2.0, 0.0), weight[i])
+            part = slice(x.ends[rows[i]], x.ends[rows[i] + 1])
+            at, value = x.places[part], x.values[part]
+            new = min(max(alpha[i] - (y[i] * (float(value @ w[at]) + bias) - 1) / 2.0, 0.0), weight[i])
             if new != alpha[i]:
-                moved = max(moved, abs(new - alpha[i]))
-                w += np.float32((new - alpha[i]) * y[i]) * row
+                step = (new - alpha[i]) * y[i]
+                moved = max(moved, abs(step))
+                w[at] += np.float32(step) * value
+                bias += step
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class Model:
     """Families, their machines, and the machines of pairs of languages of a family."""
 
-    def __init__(self, x: np.ndarray, labels: list[str]):
+    def __init__(self, x: Sparse, labels: list[str]):
         langs, every = np.array(labels), np.arange(len(labels))
         family = np.array([FAMILY_OF.get(v, v) for v in labels])
         self.families = sorted(set(family))
@@ -143,11 +153,8 @@ def train(docs: DataFrame, sample: int = 6000, most: int = 500) -> Model | None:
             yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 3))
 
     rows = sorted(picked.select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").limit(2 * sample).collect())
-    x = np.zeros((len(rows), SIZE + 1), np.float32)
-    x[:, SIZE] = 1
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
     labels = [r["lang"] for r in rows]
+    x = Sparse([r["at"] for r in rows], [r["x"] for r in rows])
     del rows
     return Model(x, labels) if labels else None
 
