@@ -66,5 +66,17 @@ def test_bands_reject_the_odd_and_keep_the_usual(spark):
     assert kept.columns == docs.columns and 298 <= kept.count() <= 301
 
 
+def test_copies_do_not_narrow_the_bands(spark):
+    rng = random.Random(8)
+    lexicon = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    usual = [(i, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(150, 250))), "xx") for i in range(300)]
+    copies = [(1000 + i, usual[0][1], "xx") for i in range(900)]
+    base = " ".join(rng.choice(lexicon) for _ in range(200))
+    near = [(3000 + i, f"{base} {lexicon[i % 400]} {i}", "xx") for i in range(400)]
+    for more in (copies, near):
+        rows = {r["doc_id"]: r["kept"] for r in fertility.rate(spark.createDataFrame(usual + more, "doc_id long, text string, lang string"), PATH).collect()}
+        assert sum(rows[i] for i, *_ in usual) >= 294
+
+
 def test_scripts():
     assert [fertility.script_of(t) for t in ("abc", "été", "привет", "你好吗", "123 !", "αβγ", "🙂🙂")] == ["Latin", "Latin", "Cyrillic", "Han", "Latin", "Greek", "other"]

@@ -11,7 +11,8 @@ A document is kept if its base counts pass and its measures lie in the bands. Ba
 there are fixed limits (parameter). Per language and size class (power of two of the token count) the middle of
 all documents of the corpus sets them: so many robust deviations below the median of characters per token or of
 token entropy, or so many above that of characters per token, reject. A corpus that is mostly clean
-moves neither. Classes of fewer than `least` documents have the fixed limits only. The language is a column of
+moves neither: equal texts of a language count once, and deviations have a least value, so that copies and near copies do not
+narrow the bands. Classes of fewer than `least` documents have the fixed limits only. The language is a column of
 the table (null: the script takes its place).
 
 Null texts count as having no words: all counts 0, base_failed true, kept false, measures null. Texts of any
@@ -49,6 +50,9 @@ BANDS = {
 #: Robust deviations from the median of a language's size class: characters per token below and above, entropy below.
 WIDTHS = (6.0, 12.0, 3.5)
 
+#: Least robust deviations times the root of the token count: of characters per token as a share of their median, of entropy in bits.
+FLOORS = (0.3, 2.0)
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, byte_share double, token_entropy double, n_tokens long"
 _WIDE = re.compile("[ɐ-\U0010ffff]")
 _LATIN = regex.compile(r"\p{Latin}")
@@ -116,7 +120,7 @@ class PieceMeter:
 
 
 def _measured(docs: DataFrame, path: str) -> DataFrame:
-    """docs with a struct __vf_fertility."""
+    """docs with a struct __vf_fertility and the digest of the text."""
     names = [c.split()[0] for c in MEASURES.split(", ")]
 
     @F.pandas_udf(MEASURES)
@@ -131,7 +135,7 @@ def _measured(docs: DataFrame, path: str) -> DataFrame:
             rows.append((*base, *((script_of(text), base[1] / n, byte_share, entropy) if n else (None,) * 4), n))
         return pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn("__vf_fertility", fertility("text"))
+    return docs.withColumn("__vf_digest", F.xxhash64("text")).withColumn("__vf_fertility", fertility("text"))
 
 
 _METER: tuple[str, PieceMeter] | None = None  # of this Python worker
@@ -144,12 +148,15 @@ def _judged(measured: DataFrame, language: str, bands: dict, widths: tuple, leas
     keyed = measured.withColumn("__vf_group", group).withColumn("__vf_class", F.when(f["n_tokens"] > 0, F.floor(F.log2(f["n_tokens"])).cast("int")))
     middle = (
         keyed.where(~f["base_failed"])
-        .select("__vf_group", "__vf_class", f["chars_per_token"].alias("c"), f["token_entropy"].alias("e"))
+        .select("__vf_group", "__vf_class", "__vf_digest", f["chars_per_token"].alias("c"), f["token_entropy"].alias("e"))
+        .distinct()  # copies of a text count once
         .groupBy("__vf_group", "__vf_class")
         .agg(F.count("*").alias("n"), F.percentile_approx("c", [0.25, 0.5]).alias("c"), F.percentile_approx("e", [0.25, 0.5]).alias("e"))
         .where(F.col("n") >= least)
     )
-    spread = lambda x: (F.col(x)[1] - F.col(x)[0]) / 0.6745
+    tokens = F.sqrt(F.pow(F.lit(2.0), F.col("__vf_class")))
+    floor = {"c": F.lit(FLOORS[0]) * F.col("c")[1] / tokens, "e": F.lit(FLOORS[1]) / tokens}
+    spread = lambda x: F.greatest((F.col(x)[1] - F.col(x)[0]) / 0.6745, floor[x])
     limits = middle.select(
         F.col("__vf_group").alias("__vf_g"), F.col("__vf_class").alias("__vf_k"),
         (F.col("c")[1] - widths[0] * spread("c")).alias("__vf_low"), (F.col("c")[1] + widths[1] * spread("c")).alias("__vf_high"), (F.col("e")[1] - widths[2] * spread("e")).alias("__vf_least"),
