@@ -78,5 +78,33 @@ def test_copies_do_not_narrow_the_bands(spark):
         assert sum(rows[i] for i, *_ in usual) >= 294
 
 
+VI = "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu."
+YO = "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá."
+LO = "ມະນຸດທຸກຄົນເກີດມາມີກຽດສັກສີ ສິດທິ ເສລີພາບ ແລະ ຄວາມສະເໝີພາບເທົ່າທຽມກັນ ທຸກໆຄົນ ມີເຫດຜົນ ແລະ ຄວາມຄິດ ຄວາມເຫັນ"
+
+
+def test_clean_texts_of_rarer_languages_stay(spark):
+    rng = random.Random(9)
+    few = [(1, VI, "vi"), (2, YO, "yo"), (3, LO, "lo")]
+    lexicon = VI.split()
+    many = [(100 + i, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(90, 120))), "zz") for i in range(150)]  # its own band, where no fixed one knows it
+    rows = {r["doc_id"]: r["kept"] for r in fertility.rate(spark.createDataFrame(few + many, "doc_id long, text string, lang string"), PATH).collect()}
+    assert all(rows[i] for i, *_ in few)
+    assert sum(rows[i] for i, *_ in many) >= 140
+
+
+def test_low_entropy_is_rejected_in_small_classes(spark):
+    rng = random.Random(10)
+    junk = lambda n: " ".join("".join(rng.choice(["this", "that"]) for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    lexicon = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    clean = lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+    usual = [(i, clean(rng.randrange(150, 250)), "xx") for i in range(300)]
+    odd = [(1000, junk(200), "xy"), (1001, junk(3000), "xx"), (1002, clean(3000), "xx"), (1003, clean(40), "xx"), (1004, clean(200), "xy")]
+    rows = {r["doc_id"]: r["kept"] for r in fertility.rate(spark.createDataFrame(usual + odd, "doc_id long, text string, lang string"), PATH).collect()}
+    assert [rows[i] for i in range(1000, 1005)] == [False, False, True, True, True] and sum(rows[i] for i, *_ in usual) >= 294
+    alone = fertility.rate(spark.createDataFrame([odd[0], odd[4]], "doc_id long, text string, lang string"), PATH).collect()
+    assert {r["doc_id"]: r["kept"] for r in alone} == {1000: False, 1004: True}
+
+
 def test_scripts():
     assert [fertility.script_of(t) for t in ("abc", "été", "привет", "你好吗", "123 !", "αβγ", "🙂🙂")] == ["Latin", "Latin", "Cyrillic", "Han", "Latin", "Greek", "other"]
