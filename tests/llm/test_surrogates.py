@@ -85,3 +85,21 @@ def test_names_shared_by_types_do_not_collide(spark):
     docs = spark.createDataFrame([(k, f"Mr. {chr(65 + k)}alvin Holt{chr(97 + k)} met Mrs. {chr(65 + k)}nnika Holt{chr(97 + k)}") for k in range(20)], "doc_id long, text string")
     table = surrogates.assign(surrogates.entities(docs), KEY).withColumn("g", F.substring("kind", 1, 4)).collect()
     assert len({(r["g"], r["surrogate"]) for r in table}) == len(table)
+
+
+def test_values_with_few_or_no_others_of_their_format_end(spark):
+    texts = ["password: ********", "Token: машинное", "password: !?!?%%", "token: AKIA**", *(f"token: *****{k}" for k in range(10)), *(f"mail {chr(97 + k)}@{d}.com" for k in range(26) for d in "xyz")]
+    found = [f for t in texts for _, _, *f in find(t)]
+    assert len(found) == len(texts) - 1 and find(texts[0]) == []
+    for kind, value in found[:3]:
+        assert len({surrogate(KEY, kind, value, k) for k in range(8)} - {value}) > 4
+    assert re.fullmatch("[а-я]{8}", surrogate(KEY, "credential", "машинное", 0))
+
+    def limited(key, kind, value, attempt):
+        assert attempt < 60, value
+        return surrogate(key, kind, value, attempt)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = surrogates.assign(surrogates.entities(df), KEY, limited).collect()
+    assert len(rows) == len({(r["kind"], r["surrogate"]) for r in rows}) == len(texts) - 1
+    assert not {r["surrogate"] for r in rows} & {r["value"] for r in rows}

@@ -2,7 +2,7 @@
 
 Detected entities (e-mail addresses, IPv4 addresses, telephone, card, account and social security numbers, access keys,
 credentials, persons after a title) are replaced by values drawn from a keyed hash of (type, value, attempt): digits stay
-digits, letters letters of the same case, separators, prefixes, country codes, check digits (Luhn, IBAN) and address
+digits, letters letters of the same case and script, separators, prefixes, country codes, check digits (Luhn, IBAN) and address
 classes stay valid; names get names of the same script and, where a title or name tells it, the same gender.
 
 Coreference: a surrogate depends on the type and the normalised value alone, so one entity has one surrogate in all
@@ -22,6 +22,7 @@ import hashlib
 import hmac
 import re
 import string
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -47,6 +48,9 @@ SYLLABLES = {
 }
 _SCRIPT = (("Cyrillic", "Ѐ", "ӿ"), ("Greek", "Ͱ", "Ͽ"))
 
+#: Fixed value: signs for credentials without letters and digits.
+_SIGNS = "!#$%&*+-./:?@^_~="
+
 _WORD = r"[^\W\d_]"
 _NAME = rf"(?!(?:{'|'.join(map(re.escape, TITLES))})\b){_WORD}[\w'’-]*"
 _DETECT = re.compile(
@@ -94,6 +98,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     found = []
     if _HINT.search(text):
         for m in _DETECT.finditer(text):
+            if m.lastgroup == "credential" and len(set(m["credential"])) == 1 and not m["credential"][0].isalnum():
+                continue  # a mask such as ******** is no secret
             found.append((*m.span(m.lastgroup), *_kind(m.lastgroup, m[m.lastgroup])))
     if any(t in text for t in TITLES):
         taken = [(a, b) for a, b, _, _ in found]
@@ -122,7 +128,16 @@ def _same_class(ch: str, draw: Draw) -> str:
         return draw.pick(string.digits)
     if "a" <= ch <= "z":
         return draw.pick(string.ascii_lowercase)
-    return draw.pick(string.ascii_uppercase) if "A" <= ch <= "Z" else ch
+    if "A" <= ch <= "Z":
+        return draw.pick(string.ascii_uppercase)
+    return draw.pick(_alphabet(ch)) if ch > "\x7f" and ch.isalnum() else ch
+
+
+@lru_cache(10_000)
+def _alphabet(ch: str) -> str:
+    """Letters or digits of the character's kind in its block of 64 code points; at least itself."""
+    first, kind = ord(ch) & ~63, unicodedata.category(ch)
+    return "".join(c for c in map(chr, range(first, first + 64)) if unicodedata.category(c) == kind)
 
 
 def _luhn(digits: str) -> int:
@@ -137,11 +152,13 @@ def _luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """A value of the same type and format that isn't `value`; a function of its arguments alone."""
     draw = Draw(key, kind, value, attempt)
+    # values with few others of their format grow, so that the search for a free one ends
+    more = "".join(draw.pick(string.ascii_lowercase) for _ in range(attempt // 8)) if kind in ("email", "credential") else ""
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
         within = Draw(key, "domain", domain, 0)
-        return "".join(_same_class(c, draw) for c in local) + "@" + "".join(_same_class(c, within) for c in host) + "." + top
+        return "".join(_same_class(c, draw) for c in local) + more + "@" + "".join(_same_class(c, within) for c in host) + "." + top
     if kind == "ip":
         first = int(value.split(".")[0])
         head = first if first in (0, 10, 127) or first >= 224 else 1 + draw.below(223)
@@ -166,9 +183,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind in ("key", "credential"):
         head = re.match(r"AKIA|gh[pousr]_|sk-|", value)[0]
         hexa = not set(value[len(head) :].lower()) - set(string.hexdigits)
+        if kind == "credential" and not any(map(str.isalnum, value[len(head) :])):
+            return head + "".join(draw.pick(_SIGNS) for _ in value[len(head) :]) + more
         lower = value[len(head) :] == value[len(head) :].lower()
         letters = string.hexdigits[:16] if lower else "0123456789ABCDEF"
-        return head + "".join(draw.pick(letters) if hexa else _same_class(c, draw) for c in value[len(head) :])
+        return head + "".join(draw.pick(letters) if hexa else _same_class(c, draw) for c in value[len(head) :]) + more
     script = next((s for s, a, b in _SCRIPT if a <= value[0] <= b), "Latin")
     syllables, endings = SYLLABLES[script]
     many = 1 + (len(value) > 4) + (len(value) > 7) + attempt // 4
