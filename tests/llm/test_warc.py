@@ -67,3 +67,15 @@ def test_repeated_and_empty_tables(spark, tmp_path):
     assert rows == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
     warc.write(df.limit(0), str(tmp_path / "b"))
     assert warc.revisits(warc.read(spark, str(tmp_path / "b"))).count() == 0
+
+
+def test_last_records_that_end_in_a_line_break(spark, tmp_path):
+    htmls = ["abc\r\n", "\r\n", "x\r\n\r\n\r\n", "y\r\n\r\n", "z\r", "\n"]
+    pages = [(k, f"http://{k}/", h) for k, h in enumerate(htmls)]
+    for k, page in enumerate(pages):
+        warc.write(spark.createDataFrame([page], "page_id long, url string, html string"), str(tmp_path / f"one{k}"))
+        assert [bytes(r["payload"]) for r in warc.read(spark, str(tmp_path / f"one{k}")).collect()] == [page[2].encode()]
+    # several such files that one task reads
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "all"), per_file=1)
+    found = warc.read(spark, str(tmp_path / "all")).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in found} == dict(enumerate(htmls))

@@ -76,12 +76,16 @@ def write(pages: DataFrame, path: str, least: int = 1000, date: str = "2000-01-0
 
 def parse(fragments):
     """(headers, block) of the records in an iterable of byte strings that the terminator separated."""
-    end, buffer, need, headers = END.encode(), bytearray(), 0, None
+    end, buffer, need, headers, spare = END.encode(), bytearray(), 0, None, False
     for fragment in fragments:
         buffer += fragment
         buffer += end
         while True:
             if headers is None:
+                if spare and buffer.startswith(end):
+                    # a file's last block ended in \r\n: cut at the first terminator, its rest was a fragment that had none of its own
+                    del buffer[: len(end)]
+                    spare = False
                 if not buffer:
                     break
                 at = buffer.find(end)
@@ -95,9 +99,10 @@ def parse(fragments):
                 del buffer[: at + len(end)]
             if len(buffer) < need:
                 break
-            yield headers, bytes(buffer[: need - len(end)])
+            block = bytes(buffer[: need - len(end)])
+            yield headers, block
             del buffer[:need]
-            headers = None
+            headers, spare = None, block.endswith(b"\r\n")
     if headers is not None or buffer:
         raise ValueError("the last record is cut short")
 
