@@ -29,6 +29,23 @@ def test_ids_equal_the_library(library):
         assert [i for c in own.chunks(text) for i in own.chunk_ids(c)] == reference.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_code_point_and_false_specials(tok):
+    own, reference = tok
+    texts = [f"a{chr(c)}A." for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["\0<|ENDOFTEXT|>", "\0<|endoftext|>", "a<|endoftext|>\0b", "<|startoftext|><|STARTOFTEXT|>", "e\u0301 \u0301 \u1e9b\u0323"]
+    for at in range(0, len(texts), 100_000):
+        for text, other in zip(texts[at : at + 100_000], reference.encode_batch(texts[at : at + 100_000], add_special_tokens=False)):
+            assert [i for c in own.chunks(text) for i in own.chunk_ids(c)] == other.ids, ascii(text)
+
+
+def test_table_starts_anew(tok):
+    small = bpe.WordTokenizer(PATH)
+    small.automaton.most_states = 50
+    for word in ("tokenization", "automaton", "transitions", "deterministically") * 3:
+        assert small.chunk_ids(word) == tok[0].chunk_ids(word)
+    assert len(small.automaton.open) < 100
+
+
 def test_automaton_equals_plain_merging():
     """All words of up to six letters under made-up merges, against merging by rank."""
     rng = random.Random(1)

@@ -10,9 +10,12 @@ everywhere. Merge number i of (u, v) into w then adds one *merge gadget*:
 
 Doing this in rank order gives a deterministic automaton with one state per token. Its tables are kept
 compact: a state stores only the arcs cut from it and the state it is a snapshot of; an arc w exists
-where the arc of its left part existed when w was made. A word is encoded by following arcs, longest
-token first; a word has exactly one accepted path, and dead ends are remembered, so that the walk
-is linear in practice. Decoding emits the labels of the arcs.
+where the arc of its left part existed when w was made.
+
+Words are read symbol by symbol through a transition table. What can still become a token after some symbols is a set of
+(token before, symbols since); these sets are the states of the table, filled in when first reached (beyond `most_states` the
+table starts anew). Every prefix has exactly one accepted token sequence, so each state knows its last token, and the
+tokens of a word are read off backwards from its end: no search, no dead ends. Decoding emits the labels of the arcs.
 
 Null texts count as empty: no tokens, the digests of the empty string. Empty tables give empty results;
 rows are treated one by one, so ties and repeated rows change nothing; other columns are ignored.
@@ -23,48 +26,39 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, arrow_batch, arrow_rows
+from .common import Memo, arrow_batch, arrow_rows, lean
 
 #: White space as the tokenizer files understand \s (Unicode White_Space).
 _SPACE = "\x09-\x0d\x20\x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _ALL = 1 << 60
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte: itself if it is visible Latin-1, else a letter from U+0100 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class MergeAutomaton:
     """vocab: token -> id. merges: pairs of tokens in rank order. suffix: what marks the last symbol of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
-        self.suffix, self.label = suffix, {i: t for t, i in vocab.items()}
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", most_states: int = 60_000):
+        self.suffix, self.label, self.most_states = suffix, {i: t for t, i in vocab.items()}, most_states
         self.cut: dict[int, dict[int, int]] = {}
         self.born: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for i, pair in enumerate(merges):
             u, v = (vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self._gadget(i, u, v, vocab[self.label[u] + self.label[v]])
-        reachable = {i: t for i, t in self.label.items() if i in self.parts or self._symbols(t) == 1}
+        self.size = {i: self._symbols(t) for i, t in self.label.items()}
+        reachable = {i: t for i, t in self.label.items() if i in self.parts or self.size[i] == 1}
         self.final = {t[: len(t) - len(suffix)]: i for i, t in reachable.items() if suffix and t.endswith(suffix)}
         self.inner = {t: i for i, t in reachable.items() if not (suffix and t.endswith(suffix))}
         if not suffix:
             self.final = self.inner
-        self.reach: dict[str, int] = {}  # by four letters: the longest token that starts so; all others have three at most
-        for t in {*self.final, *self.inner}:
-            if len(t) > 3:
-                self.reach[t[:4]] = max(self.reach.get(t[:4], 0), len(t))
+        self.prefixes = {t[:k] for t in {*self.final, *self.inner} for k in range(len(t))}
         self._known: dict[int, bool] = {}
+        self._restart()
 
     def _symbols(self, token: str) -> int:
         return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) else len(token)
@@ -93,44 +87,78 @@ class MergeAutomaton:
                 return True
             at, token = min(at, self.born[token]), self.parts[token][0]
 
-    def _learn(self, key: int) -> bool:
-        if len(self._known) > 300_000:
-            self._known.clear()
-        known = self._known[key] = self.arc(key >> 32, key & 0xFFFFFFFF)
+    def _follows(self, state: int, token: int) -> bool:
+        if state < 0:
+            return True
+        key = state << 32 | token
+        known = self._known.get(key)
+        if known is None:
+            if len(self._known) > 300_000:
+                self._known.clear()
+            known = self._known[key] = self.arc(state, token)
         return known
 
+    def _restart(self) -> None:
+        """The table of symbol transitions with its start state alone. A state is the set of (token before, symbols since) that can still grow."""
+        self.open: list[tuple] = [((-1, ""),)]
+        self.numbers = {self.open[0]: 0}
+        self.step: list[dict[str, int]] = [{}]
+        self.ends: list[dict[str, int]] = [{}]
+        self.last = [-1]
+
+    def _read(self, state: int, symbol: str) -> int:
+        """Fills in one transition: the last token of what has been read is the one that ends here and may follow the token before it."""
+        grown, last = [], -1
+        for before, part in self.open[state]:
+            part += symbol
+            token = self.inner.get(part)
+            if token is not None and self._follows(before, token):
+                last = token
+            if part in self.prefixes:
+                grown.append((before, part))
+        if last < 0:
+            raise ValueError(f"no token for the symbol {symbol!r}")
+        key = (*grown, (last, ""))
+        to = self.numbers.get(key)
+        if to is None:
+            to = self.numbers[key] = len(self.open)
+            self.open.append(key)
+            self.step.append({})
+            self.ends.append({})
+            self.last.append(last)
+        self.step[state][symbol] = to
+        return to
+
+    def _end(self, state: int, symbol: str) -> int:
+        """The last token of a word that ends with this symbol."""
+        for before, part in self.open[state]:
+            token = self.final.get(part + symbol)
+            if token is not None and self._follows(before, token):
+                self.ends[state][symbol] = token
+                return token
+        raise ValueError(f"no token ends a word with {symbol!r}")
+
     def encode(self, word: str) -> list[int]:
-        """The tokens of one pre-split word, given in byte letters."""
-        n, ids, ends, dead = len(word), [], [0], None
-        final, inner, reach, known = self.final.get, self.inner.get, self.reach.get, self._known.get
-        start, most, state = 0, n, -1
-        while start < n:
-            end = start + reach(word[start : start + 4], 3)
-            if end > most:
-                end = most
-            token = None
-            while end > start:
-                token = final(word[start:]) if end == n else inner(word[start:end])
-                if token is not None:
-                    if state < 0:
-                        break
-                    key = state << 32 | token
-                    ok = known(key)
-                    if (self._learn(key) if ok is None else ok) and not (dead and (end, token) in dead):
-                        break
-                    token = None
-                end -= 1
-            if token is None:  # a dead end: take the last arc back
-                if not ids:
-                    raise ValueError(f"no token sequence spells {word!r}")
-                dead = dead or set()
-                dead.add((start, ids.pop()))
-                most = ends.pop() - 1
-                start, state = ends[-1], ids[-1] if ids else -1
-            else:
-                ids.append(token)
-                ends.append(end)
-                start, state, most = end, token, n
+        """The tokens of one pre-split word, given in byte letters: one transition a symbol, then back along the last tokens."""
+        if not word:
+            return []
+        if len(self.open) > self.most_states:
+            self._restart()
+        step, state, passed = self.step, 0, [0]
+        for symbol in word[:-1]:
+            to = step[state].get(symbol)
+            state = self._read(state, symbol) if to is None else to
+            passed.append(state)
+        token = self.ends[state].get(word[-1])
+        if token is None:
+            token = self._end(state, word[-1])
+        ids, size, last = [token], self.size, self.last
+        at = len(word) - size[token]
+        while at:
+            token = last[passed[at]]
+            ids.append(token)
+            at -= size[token]
+        ids.reverse()
         return ids
 
     def decode(self, ids) -> list[str]:
@@ -140,9 +168,12 @@ class MergeAutomaton:
 class WordTokenizer:
     """A tokenizer file of the word-end kind: special strings, normalisation, pre-splitting, automaton.
 
-    library: split words into ids by the tokenizers library, for operators whose subject isn't the encoding."""
+    Chunks between white space are normalised and pre-split as the library does, by its own tables of characters where they hold more than
+    ASCII, since Unicode versions differ. library: split words into ids by the library, too, for operators whose subject isn't the encoding."""
 
     def __init__(self, path: str, library: bool = False):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -150,47 +181,42 @@ class WordTokenizer:
             raise ValueError("only lower-casing word-end tokenizers without a decoder are supported")
         model = spec["model"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self._model = None
-        if library:
-            from tokenizers import Tokenizer
-
-            self._model = Tokenizer.from_file(path).model
-        else:
+        loaded = Tokenizer.from_file(path)
+        self._normalise, self._pre_split = loaded.normalizer.normalize_str, loaded.pre_tokenizer.pre_tokenize_str
+        self._model = loaded.model if library else None
+        if not library:
             self.automaton = MergeAutomaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
             self.automaton.label |= {i: t for t, i in self.special.items()}
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self._letters = byte_letters()
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a normalised string without white space, or of a special string (prefixed by \\0)."""
-        if chunk[0] == "\0" and chunk[1:] in self.special:
-            return [self.special[chunk[1:]]]
-        if chunk.isalpha():
-            return self._word(chunk)
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            return self._word(chunk[:-1]) + self._word(chunk[-1])
-        return [i for word in self._split(chunk) for i in self._word(word)]
+        self._latin = {ord(c): self._pre_split(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def chunk_ids(self, chunk: str | tuple[int]) -> list[int]:
+        """Ids of a string without white space, or of a special one (given as a tuple of its id)."""
+        if isinstance(chunk, tuple):
+            return [*chunk]
+        plain = _LATIN.fullmatch(chunk)
+        if plain:
+            word = plain[1].lower().translate(self._latin)
+            return self._word(word) + self._word(plain[2]) if plain[2] else self._word(word)
+        if chunk.isascii() and chunk.isprintable():
+            return [i for word in self._ascii.findall(chunk.lower()) for i in self._word(word)]
+        return [i for word, _ in self._pre_split(self._normalise(chunk)) for i in self._word(word)]
 
     def _word(self, word: str) -> list[int]:
-        if not (word.isascii() and word.isprintable()):
-            word = word.encode().decode("latin-1").translate(self._letters)
         return [t.id for t in self._model.tokenize(word)] if self._model else self.automaton.encode(word)
 
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str | tuple[int]]:
         """What chunk_ids takes, in order; no merge reaches over a border of chunks."""
         if "<|" in text:
-            out: list[str] = []
+            out: list[str | tuple[int]] = []
             for k, part in enumerate(self._split_special.split(text)):
-                out += ["\0" + part] if k % 2 else self._plain(part)
+                out += [(self.special[part],)] if k % 2 else self._plain(part)
             return out
         return self._plain(text)
 
     @staticmethod
     def _plain(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form in context
-        text = text.lower()
         return _CHUNK.findall(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()  # which split takes for space
 
 
@@ -214,7 +240,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 rows.append((sum(sizes), len(parts), hashlib.sha256(" ".join(coded).encode()).hexdigest(), hashlib.sha256(" ".join(plain).encode()).hexdigest()))
             yield arrow_batch(schema, keys, *(zip(*rows) if rows else [[]] * 4))
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long, n_chunks long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} long, n_tokens long, n_chunks long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +253,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for keys, texts in arrow_rows(batches, id_col, text_col):
             yield arrow_batch(schema, keys, [[i for part in map(get, tok.chunks(t or "")) for i in part] for t in texts])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -239,4 +265,4 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         for keys, ids in arrow_rows(batches, id_col, "ids"):
             yield arrow_batch(schema, keys, [" ".join(tok.automaton.decode(x or [])) for x in ids])
 
-    return rows.select(id_col, "ids").mapInArrow(run, f"{id_col} long, text string")
+    return rows.select(id_col, "ids").mapInArrow(lean(run), f"{id_col} long, text string")

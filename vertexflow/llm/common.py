@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,10 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of characters other than space and \t..\r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Most bytes of an Arrow batch between Spark and Python, unless the session has a bound of its own below Spark's 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def lower_az(text: str) -> str:
     """Lower-cases A-Z only; other letters keep their case."""
@@ -24,17 +31,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the cluster names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vertexflow-shared"
-    return base.rstrip("/")
+    """The application's folder within the shared folder of the cluster; a temporary one only on one machine, where none is named (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/vertexflow-shared"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    if int(spark.conf.get(_BATCHES).rstrip("b")) == 64 << 20:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vf_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_vf_path"):
+            _delete(df.sparkSession, df._vf_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote; results that were not written elsewhere go with it."""
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, name: str, rows: int = 200_000, size: int = 16_000_000) -> DataFrame:
@@ -47,18 +79,68 @@ def small_side(df: DataFrame, name: str, rows: int = 200_000, size: int = 16_000
     return F.broadcast(written) if n <= rows and held <= size else written
 
 
-def arrow_rows(batches, *names, rows: int = 1000):
-    """The named columns as Python lists, at most `rows` rows at a time: long texts are copied in small portions."""
+def give_back() -> None:
+    """Returns what a finished task held to the system: Python workers are reused, and two of them share an executor with its heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a mapping over batches, with its caches and tables given back when a partition ends."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
+def arrow_rows(batches, *names, rows: int = 1000, size: int = 4 << 20):
+    """The named columns as Python lists, at most `rows` rows and about `size` bytes at a time (one row at least): long texts are copied in small portions."""
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        for at in range(0, batch.num_rows, rows):
-            yield [c.slice(at, rows).to_pylist() for c in columns]
+        each = max(1, min(rows, size * batch.num_rows // max(1, sum(c.nbytes for c in columns))))
+        for at in range(0, batch.num_rows, each):
+            yield [c.slice(at, each).to_pylist() for c in columns]
 
 
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def text_map(start: Callable[[], Callable], schema: pa.Schema, *names: str):
+    """A column function over texts and other columns: start() makes, once a partition, the function from a row's values to a tuple in `schema`."""
+    kind = pa.struct(list(schema))
+
+    @F.arrow_udf(kind_of(schema))
+    def mapped(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        make = start()
+        for part in parts:
+            part = part if isinstance(part, tuple) else (part,)
+            each = max(1, min(1000, (4 << 20) * len(part[0]) // max(1, sum(c.nbytes for c in part))))
+            out = []
+            for at in range(0, len(part[0]), each):
+                out += [dict(zip(schema.names, make(*row))) for row in zip(*(c.slice(at, each).to_pylist() for c in part))]
+            yield pa.array(out, kind)
+            del out
+        del make
+        give_back()
+
+    return mapped(*names)
+
+
+_KINDS = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary", pa.int32(): "int"}
+
+
+def kind_of(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
+
+
 class Memo(dict):
     """A bounded cache of a pure function in two generations: a full one becomes the old one, from which what is used again moves on."""
 

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import WordTokenizer
-from .common import Memo, arrow_batch, arrow_rows, stash
+from .common import Memo, arrow_batch, arrow_rows, lean, stash
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 5))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
