@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from vertexflow.llm import surrogates
 from vertexflow.llm.surrogates import find, surrogate
@@ -18,7 +17,7 @@ KEY = b"k"
 def test_entities():
     kinds = [x[2] for x in find(TEXT)]
     assert kinds.count("email") == 2 and kinds.count("phone") == 2 and kinds.count("card") == 2
-    assert {"ip", "ssn", "key", "credential", "iban", "firstf", "last"} <= set(kinds)
+    assert {"ip", "ssn", "key", "credential", "iban", "name"} <= set(kinds)
     assert find("Version 2.0. of 1.2.3 in 1999-2000, page 12345") == [] and find(None) == [] and find("") == []
 
 
@@ -37,10 +36,9 @@ def test_formats(kind, value):
         assert all(0 <= int(x) <= 255 for x in new.split("."))
     if kind == "credential":
         assert re.fullmatch("[0-9a-f]+", new) and len(new) == len(value)
-    if kind.startswith(("first", "last")):
-        assert new[0].isupper() and ("а" <= new[-1] <= "я") == ("А" <= value[0] <= "я")
-    if kind == "firstf":
-        assert new[-1] in "aа" or new.endswith("я")
+    if kind == "name":
+        assert ("а" <= new[-1] <= "я") == ("а" <= value[0] <= "я")
+        assert surrogate(KEY, kind, value, 0, "f")[-1] in "aаяη"
 
 
 def test_replacement_keeps_coreference_and_everything_else(spark):
@@ -66,7 +64,7 @@ def test_replacement_keeps_coreference_and_everything_else(spark):
 
 @pytest.mark.parametrize("few", [1000, 2])
 def test_collisions_are_resolved(spark, few):
-    def crowded(key, kind, value, attempt):
+    def crowded(key, kind, value, attempt, gender):
         """Many collisions at first: values share surrogates, and one takes a real value."""
         if attempt == 0:
             return "10.0.0.1" if value.endswith(("1", "2", "3")) else "9.9.9.9" if value.endswith("4") else f"8.8.{value.split('.')[-1]}.8"
@@ -81,10 +79,49 @@ def test_collisions_are_resolved(spark, few):
     assert {r["doc_id"]: r["text"] for r in rows} == {i: f"from {new[ip]} and {new[ips[0]]}" for i, ip in enumerate(ips)}
 
 
-def test_names_shared_by_types_do_not_collide(spark):
-    docs = spark.createDataFrame([(k, f"Mr. {chr(65 + k)}alvin Holt{chr(97 + k)} met Mrs. {chr(65 + k)}nnika Holt{chr(97 + k)}") for k in range(20)], "doc_id long, text string")
-    table = surrogates.assign(surrogates.entities(docs), KEY).withColumn("g", F.substring("kind", 1, 4)).collect()
-    assert len({(r["g"], r["surrogate"]) for r in table}) == len(table)
+def test_one_person_has_one_name(spark):
+    texts = ["Dr. Carmen Holt and Mrs. Carmen Holt; Carmen said so. CARMEN", "Mr. Holt, Dr. Carmen. My name is Carmen Holt.", "Mrs. Carmen Vale", "Mr. Luca Holt", "Name: Luca Vale"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for few in (1000, 0):
+        new = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, KEY, few).collect()}
+        m = re.fullmatch(r"Dr\. (\w+) (\w+) and Mrs\. \1 \2; \1 said so\. CARMEN", new[0])
+        assert m and re.fullmatch(rf"Mr\. {m[2]}, Dr\. {m[1]}\. My name is {m[1]} {m[2]}\.", new[1]) and m[1][-1] == "a"  # the titles tell Carmen's gender
+        k = re.fullmatch(rf"Mrs\. {m[1]} (\w+)", new[2])
+        luca = re.fullmatch(rf"Mr\. (\w+) {m[2]}", new[3])[1]
+        assert new[4] == f"Name: {luca} {k[1]}" and luca[-1] in "nrstld"
+
+
+def test_addresses_and_dates():
+    text = "Born on 1980-02-29 or born 3/4/1975, geboren am 7.11.1990, at 12 Old Mill Road, Hauptstraße 5, 8 rue de la Paix; 2001:db8::ff00:42:8329 at 12:30:45, born on 99/99/1999."
+    found = find(text)
+    assert [x[2] for x in found] == ["birth"] * 3 + ["street"] * 3 + ["ipv6"]
+    new = [surrogates.formatted(text[a:b], k, surrogate(KEY, k, v, 0)) for a, b, k, v in found]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d", new[0]) and re.fullmatch(r"\d+/\d+/\d{4}", new[1]) and re.fullmatch(r"\d+\.\d+\.\d{4}", new[2])
+    assert re.fullmatch(r"\d\d [A-Z]\w+ [A-Z]\w+ Road", new[3]) and re.fullmatch(r"[A-Z]\w+straße \d", new[4]) and re.fullmatch(r"\d rue de la [A-Z]\w+", new[5])
+    assert not set(new) & {text[a:b] for a, b, *_ in found}
+    assert len({surrogate(KEY, "birth", f"19{y}-01-{d:02d}", 0) for y in range(50, 99) for d in range(1, 29)}) == 49 * 28
+
+
+def test_every_matchable_value_has_others():
+    values = ["•••••••*", "------", ".........", "пароль", "密码密码密码", "ééééééé", "〆〆〆〆〆〆", "a@x.co", "1@x.co", "½½½½½½", "ªªªªªª", "______", "🙂🙂🙂🙂🙂🙂"]
+    for value in values:
+        kind = "email" if "@" in value else "credential"
+        assert len({surrogate(KEY, kind, value, k) for k in range(200)} - {value}) > 100, value
+    for name in ("a", "Ж".lower(), "η", "o'neill", "中"):
+        assert len({surrogate(KEY, "name", name, k) for k in range(200)} - {name}) > 100
+
+
+def test_key_comes_from_the_session_or_is_drawn(spark):
+    docs = spark.createDataFrame([(1, "mail anna.smith@example.com")], "doc_id long, text string")
+    once = lambda: surrogates.replace(docs).first()["text"]
+    assert once() != once()
+    spark.conf.set(surrogates.KEY_SETTING, "secret")
+    try:
+        assert once() == once() == surrogates.replace(docs, b"secret").first()["text"]
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+    with pytest.raises(ValueError):
+        surrogates.replace(docs, counted="text")
 
 
 def test_values_with_few_or_no_others_of_their_format_end(spark):
@@ -95,7 +132,7 @@ def test_values_with_few_or_no_others_of_their_format_end(spark):
         assert len({surrogate(KEY, kind, value, k) for k in range(8)} - {value}) > 4
     assert re.fullmatch("[а-я]{8}", surrogate(KEY, "credential", "машинное", 0))
 
-    def limited(key, kind, value, attempt):
+    def limited(key, kind, value, attempt, gender):
         assert attempt < 60, value
         return surrogate(key, kind, value, attempt)
 

@@ -115,19 +115,16 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def text_map(start: Callable[[], Callable], schema: pa.Schema, *names: str):
     """A column function over texts and other columns: start() makes, once a partition, the function from a row's values to a tuple in `schema`."""
-    kind = pa.struct(list(schema))
-
     @F.arrow_udf(kind_of(schema))
     def mapped(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         make = start()
         for part in parts:
             part = part if isinstance(part, tuple) else (part,)
             each = max(1, min(1000, (4 << 20) * len(part[0]) // max(1, sum(c.nbytes for c in part))))
-            out = []
-            for at in range(0, len(part[0]), each):
-                out += [dict(zip(schema.names, make(*row))) for row in zip(*(c.slice(at, each).to_pylist() for c in part))]
-            yield pa.array(out, kind)
-            del out
+            out = [make(*row) for at in range(0, len(part[0]), each) for row in zip(*(c.slice(at, each).to_pylist() for c in part))]
+            columns = zip(*out) if out else [[]] * len(schema)
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+            del out, columns
         del make
         give_back()
 
