@@ -26,12 +26,12 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, small_side, stash
+from .common import WORD, Memo, small_side, stash, text_map
 
 SYMBOLS = "#*$%&|<>"
 SCRIPTS = ("Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Hangul", "Han", "Hiragana", "Katakana")
@@ -130,24 +130,20 @@ class PieceMeter:
 
 def _measured(docs: DataFrame, path: str) -> DataFrame:
     """docs with a struct __vf_fertility and the digest of the text."""
-    names = [c.split()[0] for c in MEASURES.split(", ")]
-
-    @F.pandas_udf(MEASURES)
-    def fertility(texts: pd.Series) -> pd.DataFrame:
-        global _METER
-        if _METER is None or _METER[0] != path:
-            _METER = path, PieceMeter(path)
-        rows = []
-        for text in texts:
-            words, base = base_counts(text)
-            n, byte_share, entropy = _METER[1].measure(words)
-            rows.append((*base, *((script_of(text), base[1] / n, byte_share, entropy) if n else (None,) * 4), n))
-        return pd.DataFrame(rows, columns=names)
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in MEASURES.split(", "))])
+
+    def start():
+        meter = PieceMeter(path)
 
-    return docs.withColumn("__vf_digest", F.xxhash64("text")).withColumn("__vf_fertility", fertility("text"))
+        def measure(text):
+            words, base = base_counts(text)
+            n, byte_share, entropy = meter.measure(words)
+            return (*base, *((script_of(text), base[1] / n, byte_share, entropy) if n else (None,) * 4), n)
 
+        return measure
 
-_METER: tuple[str, PieceMeter] | None = None  # of this Python worker
+    return docs.withColumn("__vf_digest", F.xxhash64("text")).withColumn("__vf_fertility", text_map(start, schema, "text"))
 
 
 def _limits(keyed: DataFrame, f: dict, least: int) -> DataFrame:

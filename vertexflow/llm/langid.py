@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_rows, crc32_of_id
+from .common import arrow_batch, arrow_rows, crc32_of_id, lean, text_map
 
 #: Families of ISO 639-1 codes.
 FAMILIES = {
@@ -140,19 +140,20 @@ def train(docs: DataFrame, sample: int = 6000, most: int = 500) -> Model | None:
     each = sample / len(counts)
     whole = 1 << 30
     bound = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(whole * min(1.0, each / n))))))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < bound[F.col("lang")])
+    picked = labelled.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole))).where(F.col("draw") < bound[F.col("lang")])
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
-        for langs, texts in arrow_rows(batches, "lang", "text"):
+        schema = pa.schema([("draw", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
+        for draws, langs, texts in arrow_rows(batches, "draw", "lang", "text"):
             rows = []
-            for lang, x in zip(langs, map(features, texts)):
+            for draw, lang, x in zip(draws, langs, map(features, texts)):
                 if x is not None:
                     at = np.flatnonzero(x)
-                    rows.append((lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
-            yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 3))
+                    rows.append((draw, lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
+            yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
-    rows = sorted(picked.select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").limit(2 * sample).collect())
+    drawn = picked.select("draw", "lang", "text").mapInArrow(lean(run), "draw long, lang string, at binary, x binary")
+    rows = drawn.orderBy("draw", "lang", "at").limit(2 * sample).collect()  # about `sample`; many rows of one draw are copies of a text
     labels = [r["lang"] for r in rows]
     x = Sparse([r["at"] for r in rows], [r["x"] for r in rows])
     del rows
@@ -168,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             found = [("und", 0.0) if x is None or model is None else model.predict(x) for x in map(features, texts)]
             yield arrow_batch(schema, ids, *(zip(*found) if found else [[]] * 2))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = 6000) -> DataFrame:
@@ -177,14 +178,13 @@ def identify(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = 6000) -
     return predict(docs, train(docs.where(~held), sample)).withColumn("held_out", held)
 
 
-def keep(docs: DataFrame, least: float = 0.3, sample: int = 6000) -> DataFrame:
-    """Documents whose language is told with a score of `least` or more, with their columns as they were."""
-    model = train(docs, sample)
+def keep(docs: DataFrame, least: float = 0.3, sample: int = 6000, column: str = "lang") -> DataFrame:
+    """Documents whose language is told with a score of `least` or more, with their columns as they were; where `column` is null, it gets
+    the language told, so that what follows may go by it. Null texts and those without a letter go. Without labelled rows all go."""
+    model = train(docs.withColumnRenamed(column, "lang") if column != "lang" else docs, sample)
 
-    @F.pandas_udf("boolean")
-    def told(texts):
-        import pandas as pd
+    def start():
+        return lambda text: (None, 0.0) if model is None or (x := features(text)) is None else model.predict(x)
 
-        return pd.Series([x is not None and model is not None and model.predict(x)[1] >= least for x in map(features, texts)], dtype=bool)
-
-    return docs.where(told("text"))
+    told = docs.withColumn("__vf_told", text_map(start, pa.schema([("lang", pa.string()), ("score", pa.float64())]), "text")).where(F.col("__vf_told.score") >= least)
+    return told.select(*(F.coalesce(c, F.col("__vf_told.lang")).alias(c) if c == column else F.col(c) for c in docs.columns))
