@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from vertexflow.plans import catalog
+from vertexflow.plans import catalog, surface
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,12 +26,15 @@ def close(x, y):
     return x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+QUERIES, ORACLES = catalog.QUERIES | surface.QUERIES, catalog.ORACLES | surface.ORACLES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     found = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
-    relation = db.sql(catalog.ORACLES[name])
+    relation = db.sql(ORACLES[name])
     assert sorted(relation.columns) == columns
     expected = sorted(relation.select(*(f'"{c}"' for c in columns)).fetchall(), key=repr)
     assert len(found) == len(expected)

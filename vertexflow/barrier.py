@@ -3,28 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PLANNING = threading.RLock()
 
-def ensure_folder(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vertexflow-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder within the session's spark.checkpoint.dir; a temporary one only on one machine, where none is named (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/vertexflow-shared"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def barrier(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, in the partitions that its plan has.
 
     Planned without adaptive execution: an adaptive plan's partitioning is unknown to what reads the checkpoint, a static one's is
-    known, so the next join by the same key moves only the messages, not the state.
+    known, so the next join by the same key moves only the messages, not the state. Barriers of one session wait for each other.
     """
     spark = df.sparkSession
-    ensure_folder(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with _PLANNING:
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            out = df.checkpoint(eager=True)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    out._vf_barrier = True
+    return out
+
+
+def drop_barrier(df: DataFrame) -> None:
+    """Deletes the files of a barrier whose rows nothing reads any more."""
+    if getattr(df, "_vf_barrier", False):
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

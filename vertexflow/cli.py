@@ -54,6 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         write_vertices(result, column, a.output)
     else:
         result.select("id", column).orderBy("id").show(20)
+    graph.release()
     return 0
 
 

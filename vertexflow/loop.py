@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from .barrier import barrier
+from .barrier import barrier, drop_barrier
 from .graph import Graph
 
 log = logging.getLogger("vertexflow")
@@ -42,8 +42,11 @@ def iterate(graph: Graph, step: Callable[[Graph, object], Graph], done: Callable
     run = Run(graph)
     while max_passes is None or run.passes < max_passes:
         began = time.perf_counter()
+        old = run.graph.vertices
         new = step(run.graph, run.measure)
         run.graph = new.with_vertices(barrier(new.vertices))
+        if run.passes:
+            drop_barrier(old)  # a state that this loop wrote; only the last one stays
         run.passes += 1
         stop, measure = done(run.graph)
         run.steps.append({"pass": run.passes, "measure": measure, "seconds": time.perf_counter() - began})

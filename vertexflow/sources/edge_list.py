@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -74,9 +75,25 @@ def read_edge_list(spark: SparkSession, path: str, n: int | None = None, unit_we
     return Graph.of(edges.drop("value"), n)
 
 
+def line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of all lines of a folder's files in name order, from 0: counts per split, which are few, and places within them."""
+    lines = numbered_lines(spark, path, comments=r"$^", blank=True)
+    return with_numbers(lines).select("line", "value")
+
+
+def with_numbers(lines: DataFrame) -> DataFrame:
+    """numbered_lines with `line`, their rank."""
+    sizes = lines.groupBy("part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = W.partitionBy("part").orderBy("at")
+    met = lines.join(F.broadcast(starts) if sizes.count() <= 100_000 else starts, "part")
+    return met.withColumn("line", F.col("_start") + F.row_number().over(own) - 1).drop("_start")
+
+
 def write_edge_list(graph: Graph, path: str) -> None:
-    """The edge list of a graph as one file in the folder `path`: a header and edges by source."""
+    """The edge list of a graph as range-sorted files in the folder `path`: a header, then edges by source, in name order."""
     weight = [F.col("weight").cast("string")] if "weight" in graph.light.columns else []
     lines = graph.edges.select("src", "dst", F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), *weight).alias("value"))
     header = graph.spark.createDataFrame([(-1, -1, f"{graph.n} {graph.edge_count()}")], "src long, dst long, value string")
-    header.union(lines).coalesce(1).sortWithinPartitions("src", "dst").select("value").write.text(path)
+    header.union(lines).orderBy("src", "dst").select("value").write.text(path)

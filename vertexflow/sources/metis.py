@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .edge_list import after, first_line, numbered_lines
+from .edge_list import after, first_line, numbered_lines, with_numbers
 
 
 def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
@@ -28,11 +27,7 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
         raise ValueError(f"malformed header {first['value']!r}")
     n, m = int(head[0]), int(head[1])
     rows = lines.where(after(first))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("lines"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
-    own = W.partitionBy("part").orderBy("at")
-    vertex = rows.join(F.broadcast(starts) if sizes.count() <= 100_000 else starts, "part").select((F.col("start") + F.row_number().over(own) - 1).alias("src"), "value")
+    vertex = with_numbers(rows).select(F.col("line").alias("src"), "value")
     if check and not vertex.where((F.col("src") >= n) & (F.trim("value") != "")).isEmpty():
         raise ValueError(f"more than {n} lines of neighbours")
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
@@ -46,3 +41,10 @@ def read_metis(spark: SparkSession, path: str, check: bool = True) -> Graph:
         if found["m"] != 2 * m:
             raise ValueError(f"{found['m']} neighbours, but the header says 2 x {m}")
     return Graph.of(edges, n)
+
+
+def write_metis(graph: Graph, path: str) -> None:
+    """The adjacency file of a symmetric graph without loops as range-sorted files in the folder `path`, in name order."""
+    texts = F.array_join(F.transform("neighbours", lambda x: (x + 1).cast("string")), " ")
+    header = graph.spark.createDataFrame([(-1, f"{graph.n} {graph.edge_count() // 2}")], "id long, value string")
+    header.union(graph.adjacency().select("id", texts.alias("value"))).orderBy("id").select("value").write.text(path)

@@ -31,8 +31,14 @@ def write_adjacency(graph: Graph, path: str) -> None:
     lists.select("id", text.alias("value")).orderBy("id").select("value").write.text(path)
 
 
+def graph_lines(graph: Graph) -> DataFrame:
+    """(line, text): the counts, then the out-degree histogram, a slot a line."""
+    slots = graph.degree_histogram().select((F.col("slot") + 1).cast("long").alias("line"), F.concat(F.lit("slot "), F.col("slot").cast("string"), F.lit(": "), F.col("vertices").cast("string")).alias("text"))
+    return graph.spark.createDataFrame([(0, f"Nodes: {graph.vertex_count()}, edges: {graph.edge_count()}")], "line long, text string").union(slots)
+
+
 def show_graph(graph: Graph, verbose: bool = False) -> None:
     """Counts, and the out-degree histogram if verbose."""
-    print(f"Nodes: {graph.vertex_count()}, edges: {graph.edge_count()}")
-    if verbose:
-        graph.degree_histogram().orderBy("slot").show(100)
+    lines = graph_lines(graph).orderBy("line")
+    for row in (lines if verbose else lines.limit(1)).collect():  # 65 lines at most
+        print(row["text"])
