@@ -14,7 +14,7 @@ become optional groups of one wrapper.
 
 A page is read by aligning it with its host's wrapper. Its main part is found by what slots hold on the host's pages on average:
 from the body down into the one child that holds at least SHARE of what varies, without menus and the like; an article or main
-element next to it breaks ties. Within the main part template texts are dropped (unless less than half of the longer texts of the host are different ones: copies and near copies). A wrapper of
+element next to it breaks ties. Within the main part template texts are dropped (unless less than half of the host's texts are different ones: copies and near copies). A wrapper of
 fewer than `least` pages knows too little: the page's own texts count as slots. Tags, roles and class names mark navigation, asides,
 forms, adverts, notices and comments in any case, but a class name never hides what holds the only article, nor all text of a page.
 
@@ -70,8 +70,8 @@ STATES = set("has is no with format layout".split())
 SHARE = 0.6
 #: Tags nested deeper than this are passed over, their texts belong to the last one within; parts of one label beyond MANY runs count as one run.
 DEPTH, MANY = 120, 64
-#: Texts of so many letters count as longer ones; how many least digests estimate their number.
-LONG, DIGESTS = 20, 64
+#: How many least digests estimate the number of different texts.
+DIGESTS = 64
 
 
 def tokens_of(html: str | None) -> list[tuple[str, str]]:
@@ -293,10 +293,10 @@ def _aligned(a: list, b: list, same_page: bool) -> list:
 
 
 def wrapper_of(html: str | None) -> list:
-    """The wrapper of one page, followed by the number of its longer texts and the least digests of them."""
+    """The wrapper of one page, followed by the number of its texts outside links and the least digests of them."""
     root = nested(tokens_of(html))
-    long = [_digest(x) for x in _leaves(root) if x.chars - x.tied >= LONG]
-    return [*expression([root]), [len(long), sorted(set(long))[:DIGESTS]]]
+    texts = [_digest(x) for x in _leaves(root) if x.chars > x.tied]
+    return [*expression([root]), [len(texts), sorted(set(texts))[:DIGESTS]]]
 
 
 def joined(a: list, b: list) -> list:
@@ -305,7 +305,7 @@ def joined(a: list, b: list) -> list:
 
 
 def mostly_copies(w: list) -> bool:
-    """Whether less than half of the longer texts are different ones: copies and near copies, whose common texts are no template."""
+    """Whether less than half of the texts are different ones: copies and near copies, whose common texts are no template."""
     total, least = w[5]
     distinct = len(least) if len(least) < DIGESTS else (DIGESTS - 1) / (least[-1] / 2**53)
     return 2 * distinct < total
