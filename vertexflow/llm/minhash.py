@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, arrow_batch, arrow_rows, lower_az, small_side, stash
+from .common import WORD, Memo, arrow_batch, arrow_rows, drop, lean, lower_az, small_side, stash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -116,7 +116,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 out.append((len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), band_keys(coordinates, bands).view(np.int64), bits))
             yield arrow_batch(schema, ids, *(zip(*out) if out else [[]] * 4))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
         for ids, texts in arrow_rows(batches, "doc_id", "text"):
             yield arrow_batch(schema, ids, [shingle_set(t, width, codes).tobytes() for t in texts])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, items binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = stash(small.where("a <> b").distinct(), "stars")
+        before, edges = edges, stash(small.where("a <> b").distinct(), "stars")
+        drop(before if seen is not None else None)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -187,12 +188,11 @@ def joining_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray]
     shared = np.bincount(column, minlength=len(kinds)) > 1  # what one row alone has meets nothing
     width = int(shared.sum())
     packed = None
-    if len(sets) * width <= 1 << 29:
-        number = np.cumsum(shared) - 1
-        packed = np.zeros((len(sets), width), bool)
+    if len(sets) * width <= 1 << 28:  # 32 MB of bits
         at = shared[column]
-        packed[row[at], number[column[at]]] = True
-        packed = np.packbits(packed, axis=1)
+        number = (np.cumsum(shared) - 1)[column[at]]
+        packed = np.zeros((len(sets), -(-width // 8)), np.uint8)
+        np.bitwise_or.at(packed, (row[at], number >> 3), (1 << (number & 7)).astype(np.uint8))
     _, label = np.unique(component, return_inverse=True)
     floor, links = percent / 100 - 0.15, []
     for k in range(len(ids) - 1):
