@@ -55,53 +55,168 @@ def test_model_beats_the_base_on_held_out_texts(scored):
     assert all(r["score"] < 0 for r in rows)
 
 
-def bucket(pairs):
-    """A bucket of one chunk; pairs: word hash -> {slot: count}."""
-    words_ = sorted(pairs)
-    sizes = [len(pairs[w]) for w in words_]
-    flat = [(s, c) for w in words_ for s, c in sorted(pairs[w].items())]
-    return {"bucket": 0, "chunk": ["0"], "hashes": [np.array(words_, np.uint64).tobytes()], "sizes": [hpylm.planes(np.array(sizes), 2)], "slots": [hpylm.planes(np.array([s for s, _ in flat]), 2)], "counts": [hpylm.planes(np.array([c for _, c in flat]), 5)]}
-
-
-def test_predictions_sum_to_one_and_seating_is_consistent():
-    rng = np.random.default_rng(2)
-    slots = [5, 6, 40, 4096]
-    pairs = {w: {s: int(rng.integers(0, 9)) for s in slots} for w in range(1, 30)}
-    b = hpylm.Bucket(bucket(pairs))
-    shared = hpylm.Shared(b.totals(), 29, [0.7, 0.6, 0.5])
-    gen = np.random.default_rng(1)
-    for _ in range(6):
-        b.sweep(shared, gen)
-        assert ((b.t >= (b.c > 0)) & (b.t <= b.c)).all() and ((b.t1 >= (b.c1 > 0)) & (b.t1 <= b.c1)).all() and ((b.t0 >= (b.c0 > 0)) & (b.t0 <= b.c0)).all()
-        assert np.allclose(shared.all, b.totals())
-        p = b.predictions(shared)
-        unknown = (hpylm.STRENGTH + 0.5 * shared.root_tables) / (hpylm.STRENGTH + shared.root_customers) / 30
-        for s in slots:
-            above = (hpylm.STRENGTH + 0.6 * shared.parent_tables[min(s // hpylm.SECOND, hpylm.LAST)]) / (hpylm.STRENGTH + shared.parent_customers[min(s // hpylm.SECOND, hpylm.LAST)])
-            left = (hpylm.STRENGTH + 0.7 * shared.tables[s]) / (hpylm.STRENGTH + shared.customers[s]) * above * unknown
-            assert math.isclose(p[b.slot == s].sum() + left, 1, rel_tol=1e-9)
+def test_scores_do_not_depend_on_the_deal(spark, scored):
+    docs, rows = scored
+    df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+    first = sorted(rows, key=key)
+    try:
+        for partitions, size in (("3", 20_000), ("7", 60_000)):  # several buckets, and contexts that are split
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            again = sorted(hpylm.score(df.repartition(int(partitions)), bucket_bytes=size).collect(), key=key)
+            assert [(r["doc_id"], r["n_known"]) for r in again] == [(r["doc_id"], r["n_known"]) for r in first]
+            assert np.allclose([r["score"] for r in again], [r["score"] for r in first], rtol=1e-6)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def locally(texts, buckets, sweeps, hot=()):
+    """The steps of score() without Spark: the samples, as (states, seats, roots, sums)."""
+    vocab = hpylm.Numbered()
+    found = [words(t) for t in texts]
+    ids = [np.fromiter(map(vocab.__getitem__, w), np.int32, len(w)) for w in found]
+    spread = hpylm.Hot({hpylm.xxhash.xxh64_intdigest(w): 3 for w in hot})
+    rows = [r for r in hpylm.chunk_rows("0-0", list(range(len(texts))), [False] * len(texts), [len(w) + 1 for w in found], ids, vocab, buckets, spread)]
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(dict(zip(hpylm._CHUNK.names, r)))
+    merged = {b: hpylm.merge(hpylm.pa.Table.from_pylist(x, hpylm._CHUNK), buckets).to_pylist() for b, x in by.items() if b >= 0}
+    states = {b: x[0] for b, x in merged.items()}
+    seated = {b: hpylm.first_seats(x, buckets).to_pylist() for b, x in states.items()}
+    s, root, kept = {"d1": 0.6, "d0": 0.4, "words": 0.0, "c0": 0.0, "t0": 0.0, "tokens": 0.0}, None, []
+    for sweep in range(sweeps):
+        if sweep:
+            seated = {b: hpylm.seat_contexts(x, [r for o in root.values() for r in o[1:] if r["bucket"] == b], seated[b][0], s, sweep, buckets).to_pylist() for b, x in states.items()}
+        root = {
+            o: hpylm.seat_root(x, [r for b in seated.values() for r in b[1:] if r["owner"] == o], root and root[o][0], hpylm.numbers(seated[o][0]["less_own"], 6), s, sweep, buckets).to_pylist()
+            for o, x in states.items()
+        }
+        s = s | {"c0": sum(r[0]["c0_sum"] for r in root.values()), "t0": sum(r[0]["t0_sum"] for r in root.values()), "words": sum(r[0]["words"] for r in root.values())}
+        kept.append((seated, root, s))
+    return vocab, states, kept
+
+
+def predictions(states, sample, buckets):
+    """(context hash, dish) -> prediction of the pairs that repeat, and by word hash: count, tables as a context, root prediction."""
+    seated, root, s = sample
+    of_word = {}
+    for o, x in states.items():
+        b, r = hpylm.Bucket(x, buckets), root[o][0]
+        p = hpylm.root_prediction(b.served - hpylm.numbers(r["less"], 6), hpylm.numbers(r["t0"], 6), s)
+        of_word |= {int(h): (int(c), int(c - less), float(q)) for h, c, less, q in zip(b.words, b.c, hpylm.numbers(r["less_context"], 6), p)}
+    of_pair = {}
+    for b_, x in states.items():
+        b, t = hpylm.Bucket(x, buckets), hpylm.numbers(seated[b_][0]["tables"], 6)
+        of_pair |= {(int(h), int(d)): int(n) - s["d1"] * int(k) for h, d, n, k in zip(b.contexts[b.at], b.dishes, b.n, t)}
+    return of_word, of_pair
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 7])
+def test_predictions_sum_to_one(buckets):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS[:40], [1 / (i + 1) for i in range(40)], k=60)) for _ in range(40)]
+    vocab, states, kept = locally(texts, buckets, 4, WORDS[:2])
+    pairs = Counter()
+    for t in texts:
+        w = words(t)
+        pairs.update(zip(["<s>", *w], [*w, "</s>"]))
+    hashes = {w: hpylm.xxhash.xxh64_intdigest(w) for w in vocab} | {"<s>": int(hpylm.START_HASH), "</s>": int(hpylm.END_HASH)}
+    for sample in kept:
+        s = sample[2]
+        of_word, of_pair = predictions(states, sample, buckets)
+        unknown = hpylm.root_prediction(0, 0, s)
+        dishes = [w for w in hashes if w != "<s>"]
+        assert math.isclose(sum(of_word[hashes[w]][2] for w in dishes) + unknown, 1, rel_tol=1e-9)
+        for u in ("<s>", *vocab):
+            c, tables, _ = of_word[hashes[u]]
+            assert c == sum(n for (x, _), n in pairs.items() if x == u) and tables <= c
+            mass = hpylm.prediction(0.0, c, tables, unknown, s["d1"])
+            for w in dishes:
+                n = pairs[u, w]
+                e = of_pair[hashes[u], hashes[w] & (1 << 48) - 1] if n > 1 else n * (1 - s["d1"])
+                mass += hpylm.prediction(e, c, tables, of_word[hashes[w]][2], s["d1"])
+            assert math.isclose(mass, 1, rel_tol=1e-6), u
+
+
+def test_agrees_with_plain_gibbs_on_a_tiny_corpus():
+    """Mean tables of each pair against a customer-by-customer Chinese restaurant sampler under the same discounts."""
+    texts = ["a b a b a b", "a b a c a b", "b a a a b", "a a b a b a b"]
+    _, states, kept = locally(texts, 1, 400)
+    b = hpylm.Bucket(states[0], 1)
+    mean = np.mean([hpylm.numbers(x[0][0][0]["tables"], 6) for x in kept[50:]], axis=0)
+    d1, d0, theta, rng = 0.6, 0.4, hpylm.STRENGTH, random.Random(1)
+    served = {(int(h), int(d)): int(n) for h, d, n in zip(b.contexts[b.at], b.dishes, b.n)}
+    single = Counter()  # pairs that occur once have one table
+    for t in texts:
+        w = words(t)
+        single.update(zip(["<s>", *w], [*w, "</s>"]))
+    mask = (1 << 48) - 1
+    code = lambda w: {"<s>": int(hpylm.START_HASH), "</s>": int(hpylm.END_HASH)}.get(w) or hpylm.xxhash.xxh64_intdigest(w)
+    pairs = {(code(u), code(w) & mask): n for (u, w), n in single.items()}
+    assert {k: n for k, n in pairs.items() if n > 1} == served
+    v = len({w for _, w in pairs})
+    seats = {k: [n] for k, n in pairs.items()}
+    rooms: dict = {}
+    for (_, w), t in seats.items():
+        rooms.setdefault(w, [0])[0] += len(t)
+
+    def root(w):
+        c0, t0 = sum(map(sum, rooms.values())), sum(map(len, rooms.values()))
+        mine = rooms.get(w, [])
+        return (sum(mine) - d0 * len(mine) + (theta + d0 * t0) / (v + 1)) / (theta + c0)
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def enter(tables, new, d):
+        k = rng.choices(range(len(tables) + 1), [*(x - d for x in tables), new])[0]
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    total, rounds = Counter(), 3000
+    for r in range(rounds + 200):
+        for (u, w), tables in seats.items():
+            for _ in range(pairs[u, w]):
+                if leave(tables):
+                    leave(rooms[w])
+                open_ = theta + d1 * sum(len(t) for (x, _), t in seats.items() if x == u)
+                if enter(tables, open_ * root(w), d1):
+                    t0 = sum(map(len, rooms.values()))
+                    enter(rooms[w], (theta + d0 * t0) / (v + 1), d0)
+            if r >= 200:
+                total[u, w] += len(tables)
+    exact = np.array([total[int(h), int(d)] / rounds for h, d in zip(b.contexts[b.at], b.dishes)])
+    assert np.abs(mean - exact).max() < 0.25, (mean, exact)
 
 
 def test_reseating_follows_the_table_counts_of_one_dish():
     """The share of table counts of three customers against the exact posterior, proposals weighted by acceptance."""
-    rng, d, prior = np.random.default_rng(4), 0.5, 0.3
+    d, prior, n = 0.5, 0.3, 4000
     exact = {}
     for t, ways in ((1, (1 - d) * (2 - d)), (2, 3 * (1 - d)), (3, 1)):
         exact[t] = ways * math.prod((hpylm.STRENGTH + d * k) * prior for k in range(t))
     total = sum(exact.values())
-    n = 4000
-    t, weight = np.ones(n), np.full(n, -np.inf)
-    for _ in range(30):
-        t, weight = hpylm.Bucket._move(np.full(n, 3.0), t, weight, np.full(n, prior), d, t.copy(), rng)
+    t, weight, ids = np.ones(n), np.full(n, -np.inf), hpylm.mixed(np.arange(1, n + 1, dtype=np.uint64))
+    for sweep in range(30):
+        t, weight = hpylm.sweep_dishes(np.full(n, 3), t, weight, np.full(n, prior), d, np.zeros(n), ids, sweep)
     for k in exact:
         assert abs((t == k).mean() - exact[k] / total) < 0.03
 
 
 def test_large_counts_and_planes():
-    tables, weight = hpylm.reseat(np.array([1e6, 300.0, 1.0]), np.array([0.9, 0.9, 0.9]), 0.8, np.zeros(3), np.random.default_rng(0))
+    tables, weight = hpylm.reseat(np.array([1e6, 300.0, 1.0]), np.array([0.9, 0.9, 0.9]), 0.8, np.zeros(3), np.array([1, 2, 3], np.uint64), 0)
     assert 1 < tables[1] <= 300 and tables[1] < tables[0] < 1e6 and tables[2] == 1 and np.isfinite(weight).all()
     x = np.array([0, 1, 255, 256, 70000, 2**40 - 1])
-    assert (hpylm.from_planes(hpylm.planes(x, 5), 5) == x).all()
+    assert (hpylm.numbers(hpylm.planes(x, 5), 5) == x).all()
 
 
 def test_nothing_to_learn(spark):
