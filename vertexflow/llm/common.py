@@ -52,6 +52,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stash_parts(df: DataFrame, name: str, by: str, values: list[int]) -> list[DataFrame]:
+    """stash() in one folder for each value of the column `by`, so that parts can be dropped apart; well compressed, for large tables."""
+    whole = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).option("compression", "zstd").parquet(whole)
+    out, schema = [], df.drop(by).schema
+    for value in values:
+        path = f"{whole}/{by}={value}"
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(at)
+        out.append(df.sparkSession.read.schema(schema).parquet(path) if there else df.sparkSession.createDataFrame([], schema))
+        out[-1]._vf_path = path
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:

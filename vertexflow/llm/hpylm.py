@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_batch, arrow_rows, drop, kind_of, lean, lower_az, stash
+from .common import WORD, arrow_batch, arrow_rows, drop, free_shuffles, kind_of, lean, lower_az, stash, stash_parts
 
 END_HASH, START_HASH = np.uint64(0x5EED0F5E9D3A7C11), np.uint64(0x57A27C0DE0F7E471)
 STRENGTH = 1.0
-CHUNK_TOKENS = 3_000_000
-BUCKET_BYTES = 16_000_000
+CHUNK_TOKENS = 2_000_000
+BUCKET_BYTES = 12_000_000
 _48 = np.uint64((1 << 48) - 1)
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +97,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([arrow_batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))], schema)
 
 
-_CHUNK = _schema(chunk="s", bucket="i", words="b", counts="b", sizes="b", dishes="b", pairs="b", ids="b", lengths="b", held="b", stream="b")
+_CHUNK = _schema(chunk="s", bucket="i", words="b", counts="b", sizes="b", dishes="b", dish_at="b", pairs="b", ids="b", lengths="b", held="b", stream="b")
 
 
 class Hot:
@@ -116,7 +116,8 @@ class Hot:
 
 def chunk_rows(name: str, ids: list, held: list, lengths: list, words: list, vocab: Numbered, buckets: int, hot: Hot):
     """A row per bucket: words and contexts, training counts of owned words, number of pairs of each, their dishes and training counts;
-    and one with the streams (bucket -1): in `words` the owned words by bucket, in `sizes` the hot contexts, in `dishes` the buckets of their pairs."""
+    and one with the streams (bucket -1): in `words` the owned words by bucket, in `counts` the end and the start, in `sizes` the hot contexts,
+    in `dishes` the buckets of their pairs."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
     hashes = np.append(hashes, [END_HASH, START_HASH])
     n = len(hashes)
@@ -163,11 +164,12 @@ def chunk_rows(name: str, ids: list, held: list, lengths: list, words: list, voc
         size = np.zeros(len(every), np.int64)
         size[np.searchsorted(every, listed)] = sizes
         count = np.where(bucket[every] == b, counts[every], (1 << 40) - 1)  # the largest number marks words of other owners
-        yield name, b, hashes[every].tobytes(), planes(count, 5), planes(size, 3), planes(dish[mine], 6), planes(pair_counts[mine], 5), None, None, None, None
+        dishes, dish_at = np.unique(dish[mine], return_inverse=True)
+        yield name, b, hashes[every].tobytes(), planes(count, 5), planes(size, 3), planes(dishes, 6), planes(dish_at, 4), planes(pair_counts[mine], 5), None, None, None, None
     known_ids = np.array([0 if i is None else i for i in ids], np.int64)
     flags = np.array(held, np.uint8) + 2 * np.array([i is None for i in ids], np.uint8)
     yield (
-        name, -1, planes(np.diff(first_word), 4), np.array([end, start]).tobytes(), np.flatnonzero(spread > 1).tobytes(), planes(of_pair[split], 4), None,
+        name, -1, planes(np.diff(first_word), 4), np.array([end, start]).tobytes(), np.flatnonzero(spread > 1).tobytes(), planes(of_pair[split], 4), None, None,
         known_ids.tobytes(), lengths_.tobytes(), flags.tobytes(), planes(tokens, 4),
     )
 
@@ -244,7 +246,7 @@ def merge(group: pa.Table, buckets: int) -> pa.Table:
     counts = [numbers(r["counts"], 5) for r in rows]
     own = [c != (1 << 40) - 1 for c in counts]
     sizes = [numbers(r["sizes"], 3) for r in rows]
-    dishes = np.concatenate([from_planes(r["dishes"], 6) for r in rows])
+    dishes = np.concatenate([from_planes(r["dishes"], 6)[numbers(r["dish_at"], 4)] for r in rows])
     pair_c = np.concatenate([numbers(r["pairs"], 5) for r in rows])
     many = [int(s.sum()) for s in sizes]
     known, word_at = np.unique(np.concatenate([w[o] for w, o in zip(words, own)]), return_inverse=True)
@@ -365,12 +367,12 @@ def seat_root(state: dict, sent: list[dict], before: dict | None, own: np.ndarra
         t0, weight = (c0 > 0).astype(float), np.full(len(c0), -np.inf)
     else:
         t0 = np.where(c0 > 0, np.clip(numbers(before["t0"], 6), 1, np.maximum(c0, 1)), 0).astype(float)
-        weight = np.frombuffer(before["weight"])
+        weight = np.frombuffer(before["weight"], "<f4").astype(float)
         base = np.full(len(c0), 1 / (s["words"] + 1))
         for k in range(2):
             t0, weight = sweep_dishes(c0, t0, weight, base, s["d0"], np.maximum(s["t0"] - t0, 0), mixed(b.words), 2 * sweep + k)
     sums = (float(c0.sum()), float(t0.sum()), float((c0 == 1).sum()), float((c0 == 2).sum()), float((b.served > 0).sum()), float(b.served.sum()))
-    out = [(b.bucket, planes(t0, 6), weight.tobytes(), planes(less, 6), planes(less_context, 6), *sums, None, None, None, None)]
+    out = [(b.bucket, planes(t0, 6), weight.astype("<f4").tobytes(), planes(less, 6), planes(less_context, 6), *sums, None, None, None, None)]
     tables = b.c - less_context
     out += [(b.bucket, *[None] * 10, r["bucket"], planes(c0[at], 6), planes(t0[at], 6), planes(tables[at], 6)) for r, at in zip(sent, places)]
     return _table(_ROOT, out)
@@ -381,7 +383,7 @@ def seat_contexts(state: dict, answers: list[dict], before: dict, s: dict, sweep
     b = Bucket(state, buckets)
     answers = sorted(answers, key=lambda r: r["owner"])
     c0, t0, total = (np.concatenate([numbers(r[k], 6) for r in answers]) if answers else np.zeros(0, np.int64) for k in ("a_c0", "a_t0", "a_tables"))
-    tables, weight = numbers(before["tables"], 6).astype(float), np.frombuffer(before["weight"]) if before["weight"] else np.full(len(b.n), -np.inf)
+    tables, weight = numbers(before["tables"], 6).astype(float), np.frombuffer(before["weight"], "<f4").astype(float) if before["weight"] else np.full(len(b.n), -np.inf)
     less_own = numbers(before["less_own"], 6)
     held = np.where(b.mine, b.c[b.word_at] - less_own, 0) if len(b.words) else np.zeros(len(b.contexts))
     if len(total):
@@ -393,7 +395,7 @@ def seat_contexts(state: dict, answers: list[dict], before: dict, s: dict, sweep
         held = held + np.bincount(b.at, moved - tables, len(b.contexts))
         tables = moved
     own, rows = send(b, tables)
-    return _table(_SEATED, [(b.bucket, planes(tables, 6), weight.tobytes(), planes(own, 6), None, None, None, None)] + [(b.bucket, None, None, None, *r) for r in rows])
+    return _table(_SEATED, [(b.bucket, planes(tables, 6), weight.astype("<f4").tobytes(), planes(own, 6), None, None, None, None)] + [(b.bucket, None, None, None, *r) for r in rows])
 
 
 def first_seats(state: dict, buckets: int) -> pa.Table:
@@ -413,9 +415,13 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 1, sample
     """Learns from documents whose crc32(doc_id) modulo `mod` isn't `rest`; one row of scores per document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    written = stash(chunks(docs, buckets, hot_contexts(docs, total, buckets, sample), mod, rest), "chunks")
-    pairs = written.where("bucket >= 0").select("chunk", "bucket", "words", "counts", "sizes", "dishes", "pairs")
-    merged = stash(pairs.groupBy("bucket").applyInArrow(lambda t: merge(t, buckets), kind_of(_MERGED)), "merged")
+    made = chunks(docs, buckets, hot_contexts(docs, total, buckets, sample), mod, rest)
+    streams, pairs = stash_parts(made.withColumn("kind", (F.col("bucket") >= 0).cast("int")), "chunks", "kind", [0, 1])
+    shuffled = pairs.select("chunk", "bucket", "words", "counts", "sizes", "dishes", "dish_at", "pairs").groupBy("bucket")
+    merged = stash(shuffled.applyInArrow(lambda t: merge(t, buckets), kind_of(_MERGED)), "merged")
+    drop(pairs)
+    del shuffled, made
+    free_shuffles(docs.sparkSession)
     state = merged.where("words IS NOT NULL").select(*_STATE.names)
     mapped = merged.where("chunk IS NOT NULL").select(*_MAP.names)
 
@@ -464,10 +470,10 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 1, sample
             s["d0"] = rate(sums[2], sums[3])
         if sweep > burn_in:
             kept.append((seated, root, dict(s)))
-    return _answered(written, mapped, state, kept, buckets, s)
+    return _answered(streams, mapped, state, kept, buckets, s)
 
 
-def _answered(written: DataFrame, mapped: DataFrame, state: DataFrame, kept: list, buckets: int, s: dict) -> DataFrame:
+def _answered(streams: DataFrame, mapped: DataFrame, state: DataFrame, kept: list, buckets: int, s: dict) -> DataFrame:
     """The scores, from the samples."""
     answered = _schema(chunk="s", bucket="i", counts="b", words="b", kinds="b", pairs="b")
     d1, many = s["d1"], len(kept)
@@ -490,7 +496,7 @@ def _answered(written: DataFrame, mapped: DataFrame, state: DataFrame, kept: lis
         rows = rows.unionByName(seated.where("owner IS NULL").select("bucket", F.lit(k).alias("kind"), "tables"), allowMissingColumns=True)
         rows = rows.unionByName(root.where("bucket IS NULL").select(F.col("owner").alias("bucket"), F.lit(k).alias("kind"), "t0", "less", "less_context"), allowMissingColumns=True)
     answers = mapped.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(answer, kind_of(answered))
-    streams = written.where("bucket < 0").select("chunk", F.col("words").alias("owned"), F.col("counts").alias("ends"), F.col("sizes").alias("hot"), F.col("dishes").alias("hot_at"), "ids", "lengths", "held", "stream")
+    streams = streams.select("chunk", F.col("words").alias("owned"), F.col("counts").alias("ends"), F.col("sizes").alias("hot"), F.col("dishes").alias("hot_at"), "ids", "lengths", "held", "stream")
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
     scalars = [x[2] for x in kept]
     vocabulary, trained = s["words"], int(s["tokens"])
