@@ -41,6 +41,8 @@ def test_archives_are_plain_warc(archive):
 
     texts = [gzip.open(f).read() for f in glob.glob(f"{archive}/*.gz")]
     records = [r for t in texts for r in warc.parse(t.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n"))]
+    assert sum(h["warc-type"] == "warcinfo" for h, _ in records) == len(texts)
+    records = [r for r in records if r[0]["warc-type"] != "warcinfo"]
     assert len(records) == len(PAGES)
     ids = {h["warc-record-id"] for h, _ in records}
     assert len(ids) == len(PAGES)
@@ -79,3 +81,32 @@ def test_last_records_that_end_in_a_line_break(spark, tmp_path):
     warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "all"), per_file=1)
     found = warc.read(spark, str(tmp_path / "all")).collect()
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in found} == dict(enumerate(htmls))
+
+
+def test_a_record_can_be_cut_out_by_its_offset(archive):
+    import glob
+    import zlib
+
+    found = 0
+    for file in glob.glob(f"{archive}/*.warc.gz"):
+        data, kinds = open(file, "rb").read(), []
+        while data:
+            one = zlib.decompressobj(31)
+            text = one.decompress(data)
+            data = one.unused_data
+            if text:  # between records there are empty members
+                assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n")
+                (headers, block) = next(iter(warc.parse(text.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n"))))
+                assert int(headers["content-length"]) == len(block) and not headers["warc-date"].startswith("2000")
+                kinds.append(headers["warc-type"])
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        found += len(kinds) - 1
+    assert found == len(PAGES)
+
+
+def test_pages_without_ids_are_responses(spark, tmp_path):
+    html = "<p>" + "same " * 400
+    df = spark.createDataFrame([(None, "http://a/", html), (None, "http://b/", html), (3, "http://c/", html), (2, "http://d/", html)], "page_id long, url string, html string")
+    warc.write(df, f"file://{tmp_path}/out", per_file=3)
+    rows = warc.revisits(warc.read(spark, f"file://{tmp_path}/out")).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in rows) == [(0, "response", None), (0, "response", None), (2, "revisit", 3), (3, "response", None)]

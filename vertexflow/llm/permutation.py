@@ -95,9 +95,11 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
             cut = np.partition(distance, min(k, len(distance) - 1))[min(k, len(distance) - 1)]
         near = np.argsort(distance, kind="stable")  # at least k + 1 distinct vectors, and all that tie with the last
         rows = []
-        for j in near[distance[near] <= cut]:
+        near = near[distance[near] <= cut * (1 + 1e-12)]
+        exact = np.sqrt(np.cumsum((distinct[best[near]] - vector) ** 2, axis=1)[:, -1])  # added one by one: the same on every machine
+        for j, score in zip(near, exact):
             g = best[j]
-            rows += [(distance[j], i) for i in ids[members[starts[g] : min(starts[g + 1], starts[g] + k + 1)]] if i != q_id]
+            rows += [(score, i) for i in ids[members[starts[g] : min(starts[g + 1], starts[g] + k + 1)]] if i != q_id]
         out += [(q_id, i, d) for d, i in sorted(rows)[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

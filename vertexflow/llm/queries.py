@@ -24,7 +24,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.revisits(warc.read(spark, path))
+    return warc.revisits(warc.read(spark, path, payloads=False))
 
 
 OP3_SQL = """
@@ -68,4 +68,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_permutation, op2_bpe, op3_warc, op4_fertility, op5_packing, op6_surrogates, op7_minhash, op8_pitman_yor, op9_wrappers, op10_language)}
-ORACLES = {"op3_warc": OP3_SQL}
+OP1_SQL = """
+WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id,
+  sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+QUALIFY rank <= 10
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(w[k:k + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS k FROM t WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * shared >= 80 * (m.n + o.n - shared)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, c) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION
+  SELECT x.id, x.c FROM (SELECT l.b AS id, min(r.c) AS c FROM r JOIN l ON l.a = r.id GROUP BY l.b) x JOIN recurring.r o ON o.id = x.id WHERE x.c < o.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, r.c = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id
+"""
+
+ORACLES = {"op1_permutation": OP1_SQL, "op3_warc": OP3_SQL, "op7_minhash": OP7_SQL}
