@@ -236,10 +236,12 @@ def _late_links(family: DataFrame, sets: DataFrame, sketches: DataFrame, percent
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of links at percent / 100 or more."""
     feats = stash(features(docs, width, bands, rows), "features")
-    own = feats.where("n_shingles > 0").select("doc_id", "digest")
-    classes = own.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    class_of = own.join(classes, "digest").select("doc_id", "rep")
-    picked = feats.select("doc_id", "n_shingles", "keys", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # classes of two documents or more, usually few: a group of copies is then no key of a shuffle
+    classes = feats.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = small_side(classes, "classes")
+    classed = feats.where("n_shingles > 0").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    class_of = stash(classed.select("doc_id", "rep"), "class-of")
+    picked = classed.where(F.col("rep") == F.col("doc_id")).select("doc_id", "n_shingles", "keys", "sketch")
     reps = stash(picked.dropDuplicates(["doc_id"]), "representatives")
 
     rows_ = reps.select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).alias("member"))
