@@ -134,7 +134,9 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def text_map(start: Callable[[], Callable], schema: pa.Schema, *names: str):
-    """A column function over texts and other columns: start() makes, once a partition, the function from a row's values to a tuple in `schema`."""
+    """A column function over texts and other columns: start() makes, once a partition, the function from a row's values to a tuple in `schema`.
+
+    It is called non-deterministic so that a filter on its result and a selection of it share one evaluation."""
     @F.arrow_udf(kind_of(schema))
     def mapped(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         make = start()
@@ -148,7 +150,7 @@ def text_map(start: Callable[[], Callable], schema: pa.Schema, *names: str):
         del make
         give_back()
 
-    return mapped(*names)
+    return mapped.asNondeterministic()(*names)
 
 
 _KINDS = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary", pa.int32(): "int"}
