@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Most bytes of an Arrow batch between Spark and Python, unless the session has a bound of its own below Spark's 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
