@@ -37,7 +37,7 @@ from .common import WORD, arrow_batch, arrow_rows, drop, free_shuffles, kind_of,
 
 END_HASH, START_HASH = np.uint64(0x5EED0F5E9D3A7C11), np.uint64(0x57A27C0DE0F7E471)
 STRENGTH = 1.0
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 2_500_000
 BUCKET_BYTES = 12_000_000
 _48 = np.uint64((1 << 48) - 1)
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -418,7 +418,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, burn_in: int = 1, sample
     made = chunks(docs, buckets, hot_contexts(docs, total, buckets, sample), mod, rest)
     streams, pairs = stash_parts(made.withColumn("kind", (F.col("bucket") >= 0).cast("int")), "chunks", "kind", [0, 1])
     shuffled = pairs.select("chunk", "bucket", "words", "counts", "sizes", "dishes", "dish_at", "pairs").groupBy("bucket")
-    merged = stash(shuffled.applyInArrow(lambda t: merge(t, buckets), kind_of(_MERGED)), "merged")
+    merged = stash(shuffled.applyInArrow(lambda t: merge(t, buckets), kind_of(_MERGED)), "merged", "zstd")
     drop(pairs)
     del shuffled, made
     free_shuffles(docs.sparkSession)
