@@ -43,7 +43,7 @@ def test_table_starts_anew(tok):
     small.automaton.most_states = 50
     for word in ("tokenization", "automaton", "transitions", "deterministically") * 3:
         assert small.chunk_ids(word) == tok[0].chunk_ids(word)
-    assert len(small.automaton.open) < 100
+    assert len(small.automaton.rows) < 100
 
 
 def test_automaton_equals_plain_merging():

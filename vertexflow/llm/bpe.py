@@ -37,12 +37,13 @@ _SPACE = "\x09-\x0d\x20\x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _ALL = 1 << 60
+LAST, OPEN, ENDS = -1, -2, -3
 
 
 class MergeAutomaton:
     """vocab: token -> id. merges: pairs of tokens in rank order. suffix: what marks the last symbol of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", most_states: int = 60_000):
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", most_states: int = 100_000):
         self.suffix, self.label, self.most_states = suffix, {i: t for t, i in vocab.items()}, most_states
         self.cut: dict[int, dict[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -99,17 +100,15 @@ class MergeAutomaton:
         return known
 
     def _restart(self) -> None:
-        """The table of symbol transitions with its start state alone. A state is the set of (token before, symbols since) that can still grow."""
-        self.open: list[tuple] = [((-1, ""),)]
-        self.numbers = {self.open[0]: 0}
-        self.step: list[dict[str, int]] = [{}]
-        self.ends: list[dict[str, int]] = [{}]
-        self.last = [-1]
-
-    def _read(self, state: int, symbol: str) -> int:
+        """The table of symbol transitions with its start state alone. A state is the set of (token before, symbols since) that can still grow;
+        its row maps symbols to rows, LAST to its last token, OPEN to that set and ENDS to the last tokens by final symbol."""
+        self.start = {LAST: -1, OPEN: ((-1, ""),), ENDS: {}}
+        self.rows = {self.start[OPEN]: self.start}
+
+    def _read(self, row: dict, symbol: str) -> dict:
         """Fills in one transition: the last token of what has been read is the one that ends here and may follow the token before it."""
         grown, last = [], -1
-        for before, part in self.open[state]:
+        for before, part in row[OPEN]:
             part += symbol
             token = self.inner.get(part)
             if token is not None and self._follows(before, token):
@@ -119,22 +118,18 @@ class MergeAutomaton:
         if last < 0:
             raise ValueError(f"no token for the symbol {symbol!r}")
         key = (*grown, (last, ""))
-        to = self.numbers.get(key)
+        to = self.rows.get(key)
         if to is None:
-            to = self.numbers[key] = len(self.open)
-            self.open.append(key)
-            self.step.append({})
-            self.ends.append({})
-            self.last.append(last)
-        self.step[state][symbol] = to
+            to = self.rows[key] = {LAST: last, OPEN: key, ENDS: {}}
+        row[symbol] = to
         return to
 
-    def _end(self, state: int, symbol: str) -> int:
+    def _end(self, row: dict, symbol: str) -> int:
         """The last token of a word that ends with this symbol."""
-        for before, part in self.open[state]:
+        for before, part in row[OPEN]:
             token = self.final.get(part + symbol)
             if token is not None and self._follows(before, token):
-                self.ends[state][symbol] = token
+                row[ENDS][symbol] = token
                 return token
         raise ValueError(f"no token ends a word with {symbol!r}")
 
@@ -142,20 +137,23 @@ class MergeAutomaton:
         """The tokens of one pre-split word, given in byte letters: one transition a symbol, then back along the last tokens."""
         if not word:
             return []
-        if len(self.open) > self.most_states:
+        if len(self.rows) > self.most_states:
             self._restart()
-        step, state, passed = self.step, 0, [0]
+        row = self.start
+        passed = [row]
         for symbol in word[:-1]:
-            to = step[state].get(symbol)
-            state = self._read(state, symbol) if to is None else to
-            passed.append(state)
-        token = self.ends[state].get(word[-1])
+            try:
+                row = row[symbol]
+            except KeyError:
+                row = self._read(row, symbol)
+            passed.append(row)
+        token = row[ENDS].get(word[-1])
         if token is None:
-            token = self._end(state, word[-1])
-        ids, size, last = [token], self.size, self.last
+            token = self._end(row, word[-1])
+        ids, size = [token], self.size
         at = len(word) - size[token]
         while at:
-            token = last[passed[at]]
+            token = passed[at][LAST]
             ids.append(token)
             at -= size[token]
         ids.reverse()
@@ -217,6 +215,11 @@ class WordTokenizer:
 
     @staticmethod
     def _plain(text: str) -> list[str]:
+        try:  # lower-casing ahead lets chunks be remembered once; it is exact below U+0100, where nothing composes either
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         return _CHUNK.findall(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()  # which split takes for space
 
 
