@@ -36,6 +36,7 @@ from .common import Memo, arrow_batch, arrow_rows, lean
 _SPACE = "\x09-\x0d\x20\x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _ALL = 1 << 60
 LAST, OPEN, ENDS = -1, -2, -3
 
@@ -43,7 +44,7 @@ LAST, OPEN, ENDS = -1, -2, -3
 class MergeAutomaton:
     """vocab: token -> id. merges: pairs of tokens in rank order. suffix: what marks the last symbol of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", most_states: int = 100_000):
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", most_states: int = 250_000):
         self.suffix, self.label, self.most_states = suffix, {i: t for t, i in vocab.items()}, most_states
         self.cut: dict[int, dict[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -187,7 +188,7 @@ class WordTokenizer:
             self.automaton.label |= {i: t for t, i in self.special.items()}
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._latin = {ord(c): self._pre_split(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
-        self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self._words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def chunk_ids(self, chunk: str | tuple[int]) -> list[int]:
         """Ids of a string without white space, or of a special one (given as a tuple of its id)."""
@@ -197,8 +198,8 @@ class WordTokenizer:
         if plain:
             word = plain[1].lower().translate(self._latin)
             return self._word(word) + self._word(plain[2]) if plain[2] else self._word(word)
-        if chunk.isascii() and chunk.isprintable():
-            return [i for word in self._ascii.findall(chunk.lower()) for i in self._word(word)]
+        if _SIMPLE.fullmatch(chunk):
+            return [i for word in self._words.findall(chunk.lower()) for i in self._word(word.translate(self._latin))]
         return [i for word, _ in self._pre_split(self._normalise(chunk)) for i in self._word(word)]
 
     def _word(self, word: str) -> list[int]:
