@@ -23,6 +23,7 @@ rows are treated one by one, so ties and repeated rows change nothing; other col
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -140,6 +141,7 @@ class MergeAutomaton:
             return []
         if len(self.rows) > self.most_states:
             self._restart()
+            gc.collect()  # rows refer to each other, and full passes wait for the task's end otherwise
         row = self.start
         passed = [row]
         for symbol in word[:-1]:

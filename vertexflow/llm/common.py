@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -108,14 +109,24 @@ def give_back() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def task_memory():
+    """What a task holds. Its tables only grow, and full passes of the collector over them cost more than the work itself: they wait for the end, where all is given back."""
+    before = gc.get_threshold()
+    gc.set_threshold(100_000, 20, 1_000_000)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+        give_back()
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a mapping over batches, with its caches and tables given back when a partition ends."""
 
     def mapped(batches):
-        try:
+        with task_memory():
             yield from run(batches)
-        finally:
-            give_back()
 
     return mapped
 
@@ -139,16 +150,16 @@ def text_map(start: Callable[[], Callable], schema: pa.Schema, *names: str):
     It is called non-deterministic so that a filter on its result and a selection of it share one evaluation."""
     @F.arrow_udf(kind_of(schema))
     def mapped(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        make = start()
-        for part in parts:
-            part = part if isinstance(part, tuple) else (part,)
-            each = max(1, min(1000, (4 << 20) * len(part[0]) // max(1, sum(c.nbytes for c in part))))
-            out = [make(*row) for at in range(0, len(part[0]), each) for row in zip(*(c.slice(at, each).to_pylist() for c in part))]
-            columns = zip(*out) if out else [[]] * len(schema)
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
-            del out, columns
-        del make
-        give_back()
+        with task_memory():
+            make = start()
+            for part in parts:
+                part = part if isinstance(part, tuple) else (part,)
+                each = max(1, min(1000, (4 << 20) * len(part[0]) // max(1, sum(c.nbytes for c in part))))
+                out = [make(*row) for at in range(0, len(part[0]), each) for row in zip(*(c.slice(at, each).to_pylist() for c in part))]
+                columns = zip(*out) if out else [[]] * len(schema)
+                yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+                del out, columns
+            del make
 
     return mapped.asNondeterministic()(*names)
 
