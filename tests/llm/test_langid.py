@@ -29,6 +29,20 @@ def test_held_out_accuracy_and_undetermined(spark):
     assert kept.columns == docs.columns and kept.where("text IS NULL OR text = ''").count() == 0 and kept.count() >= len(labelled)
 
 
+def test_machines_are_not_trained_on_the_driver(spark, monkeypatch):
+    """The sample of 27 MB and what its training held stayed in the driver's memory."""
+
+    def refused(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(langid, "linear_svm", refused)  # in this process only
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, text(lang, rng), lang) for i, lang in enumerate(list(SYLLABLES) * 20)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert {v for langs in model.languages.values() for v in langs} == set(SYLLABLES)
+    assert model.predict(langid.features(text("fr", rng)))[0] == "fr"
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs).first()["lang_pred"] == "und"

@@ -86,6 +86,22 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{k: 0 for k in range(31)}, **{100 + k: 100 for k in range(40)}, 500: 500, 501: 500}
 
 
+def test_few_edges_take_no_rounds_and_rounds_agree(spark, monkeypatch):
+    """The plans of the rounds filled the driver's memory when the pipeline ran again and again."""
+    written, stash = [], minhash.stash
+    monkeypatch.setattr(minhash, "stash", lambda df, name, *more: written.append(name) or stash(df, name, *more))
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([*map(tuple, rng.integers(0, 90, (70, 2)).tolist()), *((k, k + 1) for k in range(200, 240))], "a long, b long")
+    few, rounds = (sorted(map(tuple, minhash.components(edges, *most).collect())) for most in ((), (0,)))
+    assert few == rounds and len({x for x, _ in few}) == len(few)
+    assert minhash.components(edges.limit(0)).count() == 0
+    written.clear()
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(words[:38] + [f"v{k}"])) for k in range(6)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+    assert "edges" in written and "stars" not in written
+
+
 def test_keep_one_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, "x y z", 7), (3, "x y z", 7), (None, "n", 8), (4, None, 9)], "doc_id long, text string, component_id int")
     rows = [tuple(r) for r in minhash.keep_one(docs).collect()]

@@ -5,8 +5,8 @@ one-versus-one linear support vector machines separate the closely related langu
 of one to three letters (white space at word borders), damped by square roots and of unit length, of the whole text.
 
 The machines learn from a sample of the labelled rows: at most `sample` in all, dealt equally to the languages by a
-hash of doc_id; that bound is the only one. Families of languages are fixed values; a language without one
-forms a family of its own. The score is the product of the logistic family and language margins' shares, in 0..1.
+hash of doc_id; that bound is the only one. They learn in one task, and only the machines come to the driver.
+Families of languages are fixed values; a language without one forms a family of its own. The score is the product of the logistic family and language margins' shares, in 0..1.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a label are predicted but not learned.
 Without any labelled row all texts are `und`. Rows are predicted one by one; repeated rows get equal answers.
@@ -14,6 +14,7 @@ Without any labelled row all texts are `und`. Rows are predicted one by one; rep
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 
 import numpy as np
@@ -152,12 +153,18 @@ def train(docs: DataFrame, sample: int = 6000, most: int = 500) -> Model | None:
                     rows.append((draw, lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
             yield arrow_batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
+    def fit(batches):
+        labels, places, values = [], [], []
+        for columns in arrow_rows(batches, "lang", "at", "x"):
+            for whole, part in zip((labels, places, values), columns):
+                whole += part
+        if labels:
+            yield arrow_batch(pa.schema([("model", pa.binary())]), [pickle.dumps(Model(Sparse(places, values), labels))])
+
     drawn = picked.select("draw", "lang", "text").mapInArrow(lean(run), "draw long, lang string, at binary, x binary")
-    rows = drawn.orderBy("draw", "lang", "at").limit(2 * sample).collect()  # about `sample`; many rows of one draw are copies of a text
-    labels = [r["lang"] for r in rows]
-    x = Sparse([r["at"] for r in rows], [r["x"] for r in rows])
-    del rows
-    return Model(x, labels) if labels else None
+    drawn = drawn.orderBy("draw", "lang", "at").limit(2 * sample)  # about `sample`, in one partition; many rows of one draw are copies of a text
+    made = drawn.select("lang", "at", "x").mapInArrow(lean(fit), "model binary").first()
+    return pickle.loads(made["model"]) if made else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -10,7 +10,8 @@ large sets, and the share of equal coordinates of two sketches estimates the Jac
 2. Representatives with an equal band of `rows` coordinates share a bucket. Every member is paired with the bucket's
    centre (its least id): as many pairs as members.
 3. Pairs whose sketches are far below the threshold go (at 240 coordinates, 0.15 is almost six deviations); the
-   others are verified on full sets. Links give components (alternating stars, cut by written tables).
+   others are verified on full sets. Links give components (a bounded number of edges in one
+   task, more by alternating stars, cut by written tables).
 4. Where the other members of a bucket still lie in different components, the documents of all such buckets are dealt
    into families (connected by buckets) and these into blocks. Pairs of blocks compare what is not linked yet on sketches
    and verify on full sets in place; they emit only the links that join components, at most one per row. So
@@ -26,6 +27,7 @@ repeat its row. Null ids are dropped. Other columns are ignored. Empty tables gi
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -129,10 +131,36 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, items binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of an edge (a, b): the least id reachable. Alternates large and small stars."""
+def least_reachable(edges: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """By end of an edge the least id reachable: union by the lesser root, with paths halved."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        above[max(a, b)] = min(a, b)
+    return {x: root(x) for x in above}
+
+
+def components(edges: DataFrame, few: int = 100_000) -> DataFrame:
+    """(id, component) for every end of an edge (a, b): the least id reachable.
+
+    Edges are written and counted. At most `few` are joined in one task: the plans of the rounds took more of the driver's memory than such
+    edges take of a worker's. More alternate large and small stars."""
+    edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() <= few:
+
+        def run(batches):
+            schema = pa.schema([("id", pa.int64()), ("component", pa.int64())])
+            found = least_reachable(edge for columns in arrow_rows(batches, "a", "b") for edge in zip(*columns))
+            yield arrow_batch(schema, list(found), list(found.values()))
+
+        return edges.coalesce(1).mapInArrow(lean(run), "id long, component long")
     seen = None
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -141,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         before, edges = edges, stash(small.where("a <> b").distinct(), "stars")
-        drop(before if seen is not None else None)
+        drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
