@@ -176,3 +176,21 @@ def test_partitions(spark):
 def test_is_numeric(spark):
     rows = spark.createDataFrame([("12",), ("",), ("1.5",), ("x",)], "v string").select(is_numeric("v")).collect()
     assert [r[0] for r in rows] == [True, True, False, False]
+
+
+def test_edges_are_computed_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    n, edges = STAR
+    df = spark.createDataFrame(edges, "src long, dst long, weight int").mapInArrow(watched, "src long, dst long, weight int")
+    for hub_edges in (100, 3):
+        computed.value = 0
+        g = Graph.of(df, n, hub_edges=hub_edges)
+        assert (g.edge_count(), g.edges.count(), computed.value) == (38, 38, 38)
+        assert {(r["src"], r["outdeg"]) for r in g.edges.collect()} == {(0, 19)} | {(a, 1) for a in range(1, 20)}
+        g.release()

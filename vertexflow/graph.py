@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OUT_DEGREE = "outdeg"
@@ -14,6 +15,27 @@ OUT_DEGREE = "outdeg"
 HUB_EDGES = 100_000
 
 
+def _hubs(edges: DataFrame, many: int, hub_edges: int) -> tuple[int, DataFrame | None]:
+    """The number of edges and (src, outdeg) of the hubs, None without any.
+
+    Edges are counted by buckets of sources first, which hardly need a shuffle; only sources of buckets with as many edges as a hub are counted one by one.
+    """
+    bucket = F.pmod(F.xxhash64("src"), F.lit(64 * many))
+    counts = edges.groupBy(bucket.alias("bucket")).agg(F.count("*").alias(OUT_DEGREE)).persist()
+    try:
+        m = counts.agg(F.sum(OUT_DEGREE)).first()[0] or 0
+        least = max(hub_edges, m // (4 * many))
+        hot = [r["bucket"] for r in counts.where(F.col(OUT_DEGREE) > least).collect()]  # fewer than m / least rows: 4 per partition at most
+    finally:
+        counts.unpersist()
+    if not hot:
+        return m, None
+    degree = edges.where(bucket.isin(hot)).groupBy("src").agg(F.count("*").alias(OUT_DEGREE))
+    hubs = degree.where(F.col(OUT_DEGREE) > least)
+    rows = hubs.collect()
+    return m, edges.sparkSession.createDataFrame(rows, hubs.schema) if rows else None
+
+
 @dataclass(frozen=True)
 class Graph:
     """vertices: id in 0..n-1 and state columns. Edges: src, dst, attributes and the out-degree of src.
@@ -27,27 +49,33 @@ class Graph:
     n: int
     heavy: DataFrame | None = None
     hubs: DataFrame | None = None
+    m: int | None = None
 
     @classmethod
-    def of(cls, edges: DataFrame, n: int, partitions: int | None = None, cache: bool = True, hub_edges: int = HUB_EDGES) -> Graph:
-        """Edges (src, dst, attributes...) are dealt once and kept; each superstep joins them where they lie."""
+    def of(cls, edges: DataFrame, n: int, partitions: int | None = None, cache: bool = True, hub_edges: int = HUB_EDGES, stage: bool = True) -> Graph:
+        """Edges (src, dst, attributes...) are computed and dealt once and kept; each superstep joins them where they lie.
+
+        stage=False: the caller keeps the edges already, so that reading them twice computes nothing again.
+        """
         spark = edges.sparkSession
         many = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        degree = edges.groupBy("src").agg(F.count("*").alias(OUT_DEGREE))
-        m, most = degree.agg(F.sum(OUT_DEGREE), F.max(OUT_DEGREE)).first()
-        least = max(hub_edges, (m or 0) // (4 * many))
         keep = (lambda df: df.persist()) if cache else (lambda df: df)
-        heavy = hubs = None
-        rest = edges
-        if (most or 0) > least:
-            hubs = degree.where(F.col(OUT_DEGREE) > least)  # fewer than m / least rows: 4 per partition at most
-            hubs = spark.createDataFrame(hubs.collect(), hubs.schema)
-            rest = edges.join(F.broadcast(hubs.select("src")), "src", "left_anti")
-            heavy = keep(edges.join(F.broadcast(hubs), "src").repartition(many, "src", "dst"))
-        dealt = rest.repartition(many, "src")
-        # the count reuses the exchange that deals the edges
-        light = keep(dealt.join(dealt.groupBy("src").agg(F.count("*").alias(OUT_DEGREE)), "src").sortWithinPartitions("src"))
-        return cls(spark.range(n), light, n, heavy, hubs)
+        edges = edges.where("src IS NOT NULL")
+        staged = keep(edges) if stage else edges
+        m, hubs = _hubs(staged, many, hub_edges)
+        heavy = None
+        rest = staged
+        if hubs is not None:
+            rest = staged.join(F.broadcast(hubs.select("src")), "src", "left_anti")
+            heavy = keep(staged.join(F.broadcast(hubs), "src").repartition(many, "src", "dst"))
+        # one sort deals the edges, counts those of a source and stays as their order
+        light = keep(rest.repartition(many, "src").withColumn(OUT_DEGREE, F.count("*").over(W.partitionBy("src"))).sortWithinPartitions("src"))
+        if cache:
+            for part in (light, heavy) if heavy is not None else (light,):
+                part.count()  # computed while the staged edges are there
+            if stage:
+                staged.unpersist()
+        return cls(spark.range(n), light, n, heavy, hubs, m)
 
     @property
     def edges(self) -> DataFrame:
@@ -73,7 +101,7 @@ class Graph:
         return self.n
 
     def edge_count(self) -> int:
-        return self.edges.count()
+        return self.edges.count() if self.m is None else self.m
 
     def validate(self) -> Graph:
         """Raises where an end of an edge is null or outside 0..n-1."""
