@@ -194,3 +194,12 @@ def test_edges_are_computed_once(spark):
         assert (g.edge_count(), g.edges.count(), computed.value) == (38, 38, 38)
         assert {(r["src"], r["outdeg"]) for r in g.edges.collect()} == {(0, 19)} | {(a, 1) for a in range(1, 20)}
         g.release()
+
+
+def test_large_parts_are_dealt_to_several_partitions(spark):
+    n, edges = STAR
+    g = partition.deal(make(spark, STAR), 2, most=5)
+    seen = g.edges.select(F.spark_partition_id().alias("p"), partition.random_edge_cut(F.col("src"), 2).alias("part"), "src", "dst").collect()
+    assert g.edges.rdd.getNumPartitions() == 8 and len({r["p"] for r in seen}) > 4
+    assert len({(r["p"], r["part"]) for r in seen}) == len({r["p"] for r in seen})
+    assert sorted((r["src"], r["dst"]) for r in seen) == sorted((s, d) for s, d, _ in edges)

@@ -34,6 +34,15 @@ def cut_edges(graph: Graph, parts: int, strategy: Strategy = random_edge_cut) ->
     return ends.where("src_part <> dst_part").groupBy("src_part", "dst_part").agg(F.count("*").alias("edges"))
 
 
-def deal(graph: Graph, parts: int, strategy: Strategy = random_edge_cut) -> Graph:
-    """The graph with its edges dealt to Spark partitions by the part of their source."""
-    return graph.with_edges(lambda edges: edges.repartition(parts, strategy(F.col("src"), parts)))
+#: The most edges of one part that one task gets.
+DEALT_EDGES = 2_000_000
+
+
+def deal(graph: Graph, parts: int, strategy: Strategy = random_edge_cut, most: int = DEALT_EDGES) -> Graph:
+    """The graph with its edges dealt to Spark partitions by the part of their source.
+
+    No partition holds edges of two parts. Where a part's even share is more than `most` edges, each part has several partitions, dealt by both ends.
+    """
+    pieces = max(1, -(-graph.edge_count() // (parts * most)))
+    at = F.coalesce(strategy(F.col("src"), parts), F.lit(0)) * pieces + F.pmod(F.xxhash64("src", "dst"), F.lit(pieces)).cast("int")
+    return graph.with_edges(lambda edges: edges.repartitionById(parts * pieces, at))
