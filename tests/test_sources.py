@@ -1,7 +1,7 @@
 import pytest
 
-from vertexflow import algorithms, cli
-from vertexflow.sources import read_edge_list, read_metis, show_graph, write_adjacency, write_edge_list, write_edges, write_vertices
+from vertexflow import Graph, algorithms, cli
+from vertexflow.sources import line_numbers, read_edge_list, read_metis, show_graph, write_adjacency, write_edge_list, write_edges, write_vertices
 
 
 def rows(graph, *columns):
@@ -106,3 +106,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert lines(tmp_path / "o") == ["0", "4", "10"]
     assert cli.main(["stats", str(f)]) == 0
     assert "passes" in capsys.readouterr().out
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_numbers_need_no_sort_and_count_blank_lines(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0").write_text("a\n\nb\n")
+    (tmp_path / "d" / "part-1").write_text("c\n#d\n" * 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        numbered = line_numbers(spark, str(tmp_path / "d"))
+        assert sorted(map(tuple, numbered.collect())) == list(enumerate(["a", "", "b"] + ["c", "#d"] * 3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "Window" not in physical(numbered) and "Sort" not in physical(numbered)
+
+
+@pytest.mark.parametrize("reader, text", [(read_edge_list, "3 2\n0 1\n1 2\n"), (read_metis, "2 1\n2\n1\n")])
+def test_lines_are_split_once(spark, tmp_path, monkeypatch, reader, text):
+    f = tmp_path / "g"
+    f.write_text(text)
+    given, of = [], Graph.of
+    monkeypatch.setattr(Graph, "of", lambda edges, n, **options: given.append(physical(edges)) or of(edges, n, **options))
+    assert reader(spark, str(f)).edges.count() == 2
+    assert "InMemoryTableScan" in given[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import threading
 
@@ -20,6 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+@contextlib.contextmanager
+def planned_with(spark: SparkSession, setting: str, value: str):
+    """A setting of the planner for the actions within. Those of one session wait for each other."""
+    with _PLANNING:
+        old = spark.conf.get(setting)
+        spark.conf.set(setting, value)
+        try:
+            yield
+        finally:
+            spark.conf.set(setting, old)
+
+
 def barrier(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, in the partitions that its plan has.
 
@@ -29,13 +42,8 @@ def barrier(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    with _PLANNING:
-        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        try:
-            out = df.checkpoint(eager=True)
-        finally:
-            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    with planned_with(spark, "spark.sql.adaptive.enabled", "false"):
+        out = df.checkpoint(eager=True)
     out._vf_barrier = True
     return out
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .barrier import planned_with
+
 OUT_DEGREE = "outdeg"
 
 
@@ -124,12 +126,23 @@ class Graph:
         filled = slots.join(counts, "slot", "left").withColumn("vertices", F.coalesce("vertices", F.lit(0)))
         return filled.select("slot", "vertices", (100.0 * F.col("vertices") / self.n).alias("percent"))
 
-    def adjacency(self) -> DataFrame:
-        """(id, neighbours): the sorted out-neighbours of all vertices, parallel edges repeated. For inspection: rows as long as degrees."""
-        lists = self.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    def adjacency(self, base: int = 0) -> DataFrame:
+        """(id, neighbours): the sorted out-neighbours of all vertices, parallel edges repeated, base added. For inspection: rows as long as degrees."""
+        lists = self.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.col("dst") + base)).alias("neighbours"))
         nothing = F.array().cast("array<bigint>")
         return self.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce("neighbours", nothing).alias("neighbours"))
 
+    def write_in_order(self, rows: DataFrame, path: str) -> None:
+        """Writes `value` of rows, one a vertex, as files by ranges of ids, in name order; ids below 0 come first.
+
+        The bounds are known, so nothing is computed for a sample; lists are collected along the order of the edges, without a table of all keys.
+        """
+        many = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        width = max(1, -(-self.n // many))
+        block = F.floor(F.greatest("id", F.lit(0)) / width).cast("int")
+        with planned_with(self.spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+            rows.repartitionById(many, block).sortWithinPartitions("id").select("value").write.text(path)
+
     def release(self) -> None:
         self.light.unpersist()
         if self.heavy is not None:

@@ -27,8 +27,8 @@ def write_edges(edges: DataFrame, column: str, path: str) -> None:
 def write_adjacency(graph: Graph, path: str) -> None:
     """One line per vertex: its id and sorted out-neighbours."""
     lists = graph.adjacency()
-    text = F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), " "))
-    lists.select("id", text.alias("value")).orderBy("id").select("value").write.text(path)
+    text = F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.col("neighbours").cast("array<string>"), " "))
+    graph.write_in_order(lists.select("id", text.alias("value")), path)
 
 
 def graph_lines(graph: Graph) -> DataFrame:
